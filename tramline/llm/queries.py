@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, secrets
+from tramline.llm import bpe, quality, secrets, simhash
 from tramline.llm.common import documents, scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -19,14 +19,28 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every text of documents; the classifier is fitted on labels."""
+    found = quality.quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), "doc_id")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan every text of documents through a new ledger."""
     found = secrets.scan(documents(spark, sf_dir), scratch(spark, "secret-ledger"), ["doc_id"])
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text of documents."""
+    found = simhash.near_duplicates(documents(spark, sf_dir), "doc_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_quality_rules": op2_quality_rules,
     "op7_secret_ledger": op7_secret_ledger,
+    "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
