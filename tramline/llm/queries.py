@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, quality, secrets, simhash
+from tramline.llm import bpe, quality, repeats, secrets, simhash
 from tramline.llm.common import documents, scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,12 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove from every text of documents what repeats over 35 words."""
+    found = repeats.remove_repeats(documents(spark, sf_dir), "doc_id")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every text of documents."""
     found = simhash.near_duplicates(documents(spark, sf_dir), "doc_id")
@@ -41,6 +47,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op7_secret_ledger": op7_secret_ledger,
+    "op8_repeats": op8_repeats,
     "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
