@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, quality, repeats, secrets, simhash
-from tramline.llm.common import documents, scratch
+from tramline.llm import bpe, chat, quality, repeats, rollup, secrets, sharding, simhash, warc
+from tramline.llm.common import WORD, documents, scratch, stage
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -25,6 +25,56 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 40 shards of nearly equal bytes."""
+    placed = sharding.kd_shards(documents(spark, sf_dir), "doc_id")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches over documents: inserts by an estimate, its revision to the true word counts, inserts
+    of a second tokenizer's counts, and deletes of every copy but the one of the smallest id. The first batch is then
+    committed once more, which changes nothing."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
+    encoded = bpe.encode(docs, ["doc_id", "source", "lang", "text"], RANKS, public_tokenizers.PATTERN)
+    words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1)))
+    counts = encoded.select(
+        "doc_id", "source", "lang", F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("blob"),
+        F.floor(F.coalesce(F.length("text"), F.lit(0)) / 6).alias("estimate"), words.alias("words"), F.col("n_tokens").alias("tokens"),
+    )
+    counts = stage(counts, "token-counts")
+    first = counts.groupBy("blob").agg(F.min("doc_id").alias("first"))
+    copies = counts.join(first, "blob").where(F.col("doc_id") != F.col("first"))
+    totals = rollup.TokenRollup(spark, scratch(spark, "token-rollup"))
+    totals.commit("words", rollup.inserts(counts, "words", "estimate"))
+    totals.commit("words-revised", rollup.revisions(counts, "words", "estimate", "words"))
+    totals.commit("bpe", rollup.inserts(counts, RANKS, "tokens"))
+    totals.commit("copies", rollup.deletes(copies, "words", "words").unionByName(rollup.deletes(copies, RANKS, "tokens")))
+    totals.commit("words", rollup.inserts(counts, "words", "estimate"))
+    return totals.totals()
+
+
+def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) as preference pairs."""
+    turns = documents(spark, sf_dir, "conversations").select(
+        F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 1).alias("is_rejected"), "turn", "role", "text"
+    )
+    pairs = chat.preference_pairs(turns, "pair_id", "is_rejected")
+
+    def joined(mask: str):
+        return F.array_join(F.transform(mask, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(mask)
+
+    return pairs.select("pair_id", "n_prefix", "prompt", "chosen", "rejected", joined("chosen_mask"), joined("rejected_mask"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write pages as WARC archives and read them back."""
+    path = scratch(spark, "warc")
+    warc.write(documents(spark, sf_dir, "pages"), path, "page_id")
+    found = warc.read(spark, path)
+    return found.where(F.col("gap").isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan every text of documents through a new ledger."""
     found = secrets.scan(documents(spark, sf_dir), scratch(spark, "secret-ledger"), ["doc_id"])
@@ -46,6 +96,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op3_kd_shards": op3_kd_shards,
+    "op4_token_rollup": op4_token_rollup,
+    "op5_preference_chat": op5_preference_chat,
+    "op6_warc": op6_warc,
     "op7_secret_ledger": op7_secret_ledger,
     "op8_repeats": op8_repeats,
     "op9_simhash": op9_simhash,
