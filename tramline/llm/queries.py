@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, chat, quality, repeats, rollup, secrets, sharding, simhash, warc
+from tramline.llm import bpe, chat, decontaminate, quality, repeats, rollup, secrets, sharding, simhash, warc
 from tramline.llm.common import WORD, documents, scratch, stage
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -93,6 +93,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of benchmark found in documents."""
+    found = decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), "doc_id")
+    return found.select("doc_id", "item_id", "lcs", "item_words", F.round("cosine", 3).alias("cosine"), "start", "end")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -103,5 +109,6 @@ QUERIES = {
     "op7_secret_ledger": op7_secret_ledger,
     "op8_repeats": op8_repeats,
     "op9_simhash": op9_simhash,
+    "op10_latent_decontamination": op10_latent_decontamination,
 }
 ORACLES: dict[str, str] = {}
