@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -206,6 +207,18 @@ def judge(stats: DataFrame, forest: Forest | None, threshold: float = 0.5) -> Da
     return stats.mapInArrow(run, schema)
 
 
+def verdict(forest: Forest | None, threshold: float = 0.5):
+    """A column function of a text column: whether the document is kept. It leaves all other columns in the JVM."""
+
+    @F.pandas_udf("boolean")
+    def kept(texts: pd.Series) -> pd.Series:
+        counts = np.array([statistics((t or "").encode()) for t in texts], np.int64).reshape(-1, len(COUNTS))
+        good = ~base_failed(counts[:, 0], counts[:, 4])
+        return pd.Series(good if forest is None else good & (1 / (1 + np.exp(-forest.score(features(counts)))) >= threshold))
+
+    return kept
+
+
 def quality(df: DataFrame, labels: DataFrame, key: str, text: str = "text", label: str = "quality", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """key, the COUNTS, base_failed, score and kept of every document."""
     stats = stage(document_statistics(df, key, text), "quality-stats")
