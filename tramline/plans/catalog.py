@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tramline.plans import corridors, graphs, lines, maps, roads, texts, trips
+from tramline.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "corridors", "graphs", "lines", "maps", "roads", "texts", "trips"]
