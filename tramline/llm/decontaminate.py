@@ -5,12 +5,13 @@ words; their document frequencies are counted over all passages of all documents
 STOP of these carry no weight unless an item has no others. A randomised singular value decomposition of the
 TF-IDF rows of all passages, with the pieces' rows raised to the same total weight, gives a latent space of RANK
 dimensions: one distributed pass forms the product of the Gram matrix with a random matrix, whose slices are
-summed over two levels, and the driver factors the small rest (Nystrom's method). A second pass projects
+summed over two levels, and the driver factors the small rest (Nystrom's method). Another pass projects
 overlapping passages, compares each with all pieces, and checks the pairs whose cosine reaches COSINE: around the
 passage the longest common subsequence with the item must cover LCS of its words within a stretch little longer
 than the item, and ANSWER of the words of its last sentence.
 
-Items are taken in blocks of bounded size, so what workers hold does not grow with the benchmark; only a block's
+Texts are read once for each block of items and written to the shared folder as term numbers, which is all that
+counting, factoring, searching and checking need. Items are taken in blocks of bounded size, so what workers hold does not grow with the benchmark; only a block's
 items, its frequencies and its matrix of terms by dimensions reach the driver.
 
 Defined results: null or empty texts match nothing; null ids are carried through; an item without words matches
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -63,18 +65,31 @@ def answer_words(text: bytes) -> int:
     return last if 0 < last < total else -(-total // 3)
 
 
-def _ids(vocabulary: dict[bytes, int], words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words of some texts: the term (-1: none), the number of the text, the place in it."""
+def _numbers(vocabulary: dict[bytes, int], words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of all words of some texts: the term (-1: none); and the texts' lengths."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    return np.fromiter(map(vocabulary.get, chain.from_iterable(words), repeat(-1)), np.int32, int(sizes.sum())), sizes
 
-    class Known(dict):
-        def __missing__(self, word: bytes) -> int:
-            return -1
 
-    get = Known(vocabulary).__getitem__
-    sizes = np.array([len(w) for w in words], np.int64)
-    term = np.fromiter((i for w in words for i in map(get, w)), np.int64, int(sizes.sum()))
-    text = np.repeat(np.arange(len(words)), sizes)
-    return term, text, np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By word, the number of its text and its place there."""
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    return text, np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and lengths of texts that were written as term numbers."""
+    parts = [x or b"" for x in column.to_pylist()]
+    return np.frombuffer(b"".join(parts), "<i4"), np.array([len(x) // 4 for x in parts], np.int64)
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each is there."""
+    if len(keys) and keys.max() < 1 << 31:
+        keys = keys.astype(np.int32)
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def _cells(text: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, int, np.ndarray]:
@@ -92,28 +107,26 @@ def _sum_rows(matrix: np.ndarray, rows: np.ndarray, group: np.ndarray, groups: i
     out = np.zeros((groups, matrix.shape[1]), matrix.dtype)
     if len(rows):
         first = np.flatnonzero(np.append(True, np.diff(group) != 0))
-        out[group[first]] = np.add.reduceat(matrix[rows], first, axis=0)
+        out[group[first]] = np.add.reduceat(np.take(matrix, rows, axis=0), first, axis=0)
     return out
 
 
 def gram_product(term: np.ndarray, cell: np.ndarray, cells: int, idf: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, int]:
-    """A'A omega for the rows A, of unit length, of some passages, and how many of them are not zero."""
+    """A'A omega for the rows A, of unit length, of some passages, and how many of them are not zero.
+
+    omega has its rows multiplied by idf already, and so do the rows returned.
+    """
     size = len(idf)
     weighted = (term >= 0) & (idf[term] > 0)
-    pair, count = np.unique(cell[weighted] * size + term[weighted], return_counts=True)
-    row, column = pair // size, pair % size
-    value = count * idf[column]
-    norm = np.sqrt(np.bincount(row, value**2, cells))
-    value = (value / norm[row]).astype(np.float32)[:, None]
-    first = np.flatnonzero(np.append(True, np.diff(row) != 0)) if len(row) else row
-    out = np.zeros(omega.shape)
-    if len(row):
-        dense = np.zeros((cells, omega.shape[1]), np.float32)
-        dense[row[first]] = np.add.reduceat(omega[column] * value, first, axis=0)
-        order = np.argsort(column, kind="stable")
-        start = np.flatnonzero(np.append(True, np.diff(column[order]) != 0))
-        out[column[order][start]] = np.add.reduceat(dense[row[order]] * value[order], start, axis=0)
-    return out, int((norm > 0).sum())
+    row, column = cell[weighted].astype(np.int64), term[weighted]
+    pair, count = _counted(row * size + column)
+    norm = np.sqrt(np.bincount(pair // size, (count * idf[pair % size]) ** 2, cells))
+    used = norm > 0
+    norm[~used] = 1
+    # A term that a passage has twice is gathered twice, which is what its weight asks for.
+    dense = _sum_rows(omega, column, row, cells) / (norm**2)[:, None].astype(np.float32)
+    order = np.argsort(column.astype(np.uint16) if size < 1 << 16 else column, kind="stable")
+    return _sum_rows(dense, row[order], column[order], size) * idf[:, None], int(used.sum())
 
 
 def nystrom(product: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
@@ -127,7 +140,7 @@ def nystrom(product: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
     return left[:, :rank]
 
 
-def lcs(words: list[bytes], masks: dict[bytes, int], size: int) -> int:
+def lcs(words: list[int], masks: dict[int, int], size: int) -> int:
     """The length of the longest common subsequence with the item of these position masks, bit-parallel."""
     full = (1 << size) - 1
     state = full
@@ -143,16 +156,20 @@ class _Item:
         self.key, self.words = key, words_of(text)
         self.tail = answer_words(text)
         self.masks, self.answer = {}, {}
+
+    def number(self, vocabulary: dict[bytes, int]) -> None:
+        """Prepare check() for texts as term numbers."""
         for i, w in enumerate(self.words):
-            self.masks[w] = self.masks.get(w, 0) | 1 << i
-        for i, w in enumerate(self.words[len(self.words) - self.tail :]):
-            self.answer[w] = self.answer.get(w, 0) | 1 << i
+            term = vocabulary[w]
+            self.masks[term] = self.masks.get(term, 0) | 1 << i
+            if (j := i - len(self.words) + self.tail) >= 0:
+                self.answer[term] = self.answer.get(term, 0) | 1 << j
 
     def pieces(self, most: int) -> list[list[bytes]]:
         n, parts = len(self.words), -(-len(self.words) // most)
         return [self.words[i * n // parts : (i + 1) * n // parts] for i in range(parts)]
 
-    def check(self, words: list[bytes], start: int, end: int) -> tuple[int, int, int] | None:
+    def check(self, words: list[int], start: int, end: int) -> tuple[int, int, int] | None:
         """The longest common subsequence around words[start:end] and its place, if it passes both checks."""
         n = len(self.words)
         low, high = max(0, start - n), min(len(words), end + n)
@@ -167,21 +184,33 @@ class _Item:
         return best
 
 
-def _frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
+def _numbered(docs: DataFrame, key: str, vocabulary: dict[bytes, int]) -> DataFrame:
+    """key and terms binary: the texts as term numbers, -1 for words that no item has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            term, sizes = _numbers(vocabulary, [words_of(t) for t in utf8(batch.column(1))])
+            raw, ends = term.astype("<i4", copy=False).tobytes(), (np.cumsum(sizes) * 4).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary())], [key, "terms"])
+
+    return docs.mapInArrow(run, T.StructType([docs.schema[key], T.StructField("terms", T.BinaryType())]))
+
+
+def _frequencies(terms: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """In how many passages each term is found, and how many passages there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, passages, size = np.zeros(len(vocabulary), np.int64), 0, len(vocabulary)
+        found, passages = np.zeros(size, np.int64), 0
         for batch in slices(batches, 512):
-            term, text, place = _ids(vocabulary, [words_of(t) for t in utf8(batch.column(0))])
-            cell, cells, _ = _cells(text, place, PASSAGE)
+            term, sizes = _packed(batch.column(0))
+            cell, cells, _ = _cells(*_places(sizes), PASSAGE)
             passages += cells
-            found += np.bincount(np.unique(cell[term >= 0] * size + term[term >= 0]) % size, minlength=size)
+            found += np.bincount(_counted(cell[term >= 0] * size + term[term >= 0])[0] % size, minlength=size)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], passages))], ["term", "n"])
 
-    counts = docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(vocabulary) + 1, np.int64)
+    counts = terms.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(size + 1, np.int64)
     for term, n in counts:
         df[term] = n
     return df[:-1], int(df[-1])
@@ -193,19 +222,21 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table.column("slice").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())]), "matrix": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
 
-def _latent(docs: DataFrame, vocabulary: dict[bytes, int], pieces: list[list[bytes]], idf: np.ndarray, rank: int) -> np.ndarray:
+def _omega(idf: np.ndarray, width: int) -> np.ndarray:
+    return (np.random.default_rng(SEED).standard_normal((len(idf), width)) * idf[:, None]).astype(np.float32)
+
+
+def _latent(terms: DataFrame, vocabulary: dict[bytes, int], pieces: list[list[bytes]], idf: np.ndarray, rank: int) -> np.ndarray:
     """terms x rank: the latent space of all passages and pieces, times each term's weight."""
     width = rank + OVERSAMPLE
-    omega = np.random.default_rng(SEED).standard_normal((len(idf), width)).astype(np.float32)
-    seed = SEED
-    fan = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
+    fan = max(1, int(terms.rdd.getNumPartitions() ** 0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = np.random.default_rng(seed).standard_normal((len(idf), width)).astype(np.float32)
+        draw = _omega(idf, width)
         total, rows = np.zeros(draw.shape), 0
         for batch in slices(batches, 512):
-            term, text, place = _ids(vocabulary, [words_of(t) for t in utf8(batch.column(0))])
-            cell, cells, _ = _cells(text, place, PASSAGE)
+            term, sizes = _packed(batch.column(0))
+            cell, cells, _ = _cells(*_places(sizes), PASSAGE)
             product, n = gram_product(term, cell, cells, idf, draw)
             total += product
             rows += n
@@ -214,19 +245,21 @@ def _latent(docs: DataFrame, vocabulary: dict[bytes, int], pieces: list[list[byt
         part = [context.partitionId() % fan if context else 0] * len(parts)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(part, pa.int32()), pa.array([rows] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["slice", "part", "n", "matrix"])
 
-    parts = docs.mapInArrow(run, "slice int, part int, n long, matrix binary")
+    parts = terms.mapInArrow(run, "slice int, part int, n long, matrix binary")
     for keys in (["slice", "part"], ["slice"]):
         if "part" not in keys:
             parts = parts.select("slice", "n", "matrix")
         summed = parts.groupBy(*keys).applyInArrow(_add, "slice int, n long, matrix binary")
         parts = summed
     slices_ = sorted(parts.collect())
+    omega = _omega(idf, width)
     product = np.concatenate([np.frombuffer(r["matrix"], "<f4").reshape(-1, width) for r in slices_]).astype(np.float64) if slices_ else np.zeros(omega.shape)
     rows = slices_[0]["n"] if slices_ else 0
-    term, text, place = _ids(vocabulary, pieces)
-    own, n = gram_product(term, text, len(pieces), idf, omega)
+    term, sizes = _numbers(vocabulary, pieces)
+    own, n = gram_product(term, _places(sizes)[0], len(pieces), idf, omega)
     product += own * (max(rows, 1) / max(n, 1))
-    return (nystrom(product, omega, rank) * idf[:, None]).astype(np.float32)
+    plain = np.random.default_rng(SEED).standard_normal(omega.shape)
+    return (nystrom(product, plain, rank) * idf[:, None]).astype(np.float32)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -243,8 +276,11 @@ def _search(docs: DataFrame, key: str, item_type: T.DataType, items: list[_Item]
     for item in items:
         for w in item.words:
             vocabulary.setdefault(w, len(vocabulary))
-    texts = docs.select(docs.columns[1])
-    df, passages = _frequencies(texts, vocabulary)
+    for item in items:
+        item.number(vocabulary)
+    numbered = stage(_numbered(docs, key, vocabulary), "leak-terms")
+    terms = numbered.select("terms")
+    df, passages = _frequencies(terms, len(vocabulary))
     common = df > STOP * passages
     for item in items:
         own = [vocabulary[w] for w in item.words]
@@ -253,17 +289,18 @@ def _search(docs: DataFrame, key: str, item_type: T.DataType, items: list[_Item]
     idf = np.where(common, 0, np.log1p(passages / (df + 1)))
     pieces = [(p, i) for i, item in enumerate(items) for p in item.pieces(PASSAGE)]
     owner = np.array([i for _, i in pieces])
-    matrix = _latent(texts, vocabulary, [p for p, _ in pieces], idf, rank)
-    term, text, _ = _ids(vocabulary, [p for p, _ in pieces])
-    targets = _unit(_sum_rows(matrix, term, text, len(pieces)))
+    matrix = _latent(terms, vocabulary, [p for p, _ in pieces], idf, rank)
+    term, sizes = _numbers(vocabulary, [p for p, _ in pieces])
+    targets = _unit(_sum_rows(matrix, term, _places(sizes)[0], len(pieces)))
     half = PASSAGE // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weighted = idf > 0
         arrow = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.int32() if isinstance(f.dataType, T.IntegerType) else None for f in schema]
         for batch in slices(batches, 512):
-            words = [words_of(t) for t in utf8(batch.column(1))]
-            term, text, place = _ids(vocabulary, words)
+            term, sizes = _packed(batch.column(1))
+            text, place = _places(sizes)
+            begin = np.cumsum(sizes) - sizes
             cell, cells, owner_of = _cells(text, place, half)
             if not cells:
                 continue
@@ -278,8 +315,12 @@ def _search(docs: DataFrame, key: str, item_type: T.DataType, items: list[_Item]
             rows[joined[at]] += sums[at[joined[at]] + 1]
             alike = _unit(rows) @ targets.T
             best: dict[tuple[int, int], tuple] = {}
-            for r, p in np.argwhere(alike >= COSINE):
+            words: dict[int, list[int]] = {}
+            for flat in np.flatnonzero(alike >= COSINE).tolist():
+                r, p = divmod(flat, len(pieces))
                 doc, i = int(owner_of[at[r]]), int(owner[p])
+                if doc not in words:
+                    words[doc] = term[begin[doc] : begin[doc] + sizes[doc]].tolist()
                 start = int(number[at[r]]) * half
                 found = items[i].check(words[doc], start, start + PASSAGE)
                 if found and ((doc, i) not in best or found[0] > best[doc, i][1]):
@@ -290,7 +331,7 @@ def _search(docs: DataFrame, key: str, item_type: T.DataType, items: list[_Item]
                 columns = [pa.array(c, t) if t else pa.array(c) for c, t in zip(zip(*out, strict=True), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return numbered.mapInArrow(run, schema)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, key: str, item: str = "item_id", text: str = "text", rank: int = RANK, block: int = BLOCK) -> DataFrame:
