@@ -184,7 +184,9 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = 80, dep
 def train(stats: DataFrame, labels: DataFrame, key: str, label: str, sample: int = SAMPLE) -> Forest | None:
     """A forest fitted on at most `sample` labelled rows of stats; None without rows of both classes."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("label"))
-    rows = stats.join(known, key).orderBy(F.xxhash64(key), key, *COUNTS).limit(sample).select("label", *COUNTS).toPandas()
+    # The bound is put on the labels before the join, so what is joined does not grow with them.
+    chosen = known.orderBy(F.xxhash64(key), key).limit(sample)
+    rows = stats.join(chosen, key).orderBy(F.xxhash64(key), key, *COUNTS).limit(sample).select("label", *COUNTS).toPandas()
     y = rows["label"].to_numpy(float)
     if len(y) < 20 or y.min() == y.max():
         return None
