@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,13 +45,17 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.coalesce(F.length("text"), F.lit(0)) / 6).alias("estimate"), words.alias("words"), F.col("n_tokens").alias("tokens"),
     )
     counts = stage(counts, "token-counts")
-    first = counts.groupBy("blob").agg(F.min("doc_id").alias("first"))
-    copies = counts.join(first, "blob").where(F.col("doc_id") != F.col("first"))
+    # Deleting the copies is deleting all and putting the first of each text back; no join meets a group of copies.
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "source", "lang", "words", "tokens")
+    first = counts.groupBy("blob").agg(F.min(order).alias("first")).select("first.*")
+    copies = []
+    for version, tokens in (("words", "words"), (RANKS, "tokens")):
+        copies += [rollup.deletes(counts, version, tokens), rollup.inserts(first, version, tokens)]
     totals = rollup.TokenRollup(spark, scratch(spark, "token-rollup"))
     totals.commit("words", rollup.inserts(counts, "words", "estimate"))
     totals.commit("words-revised", rollup.revisions(counts, "words", "estimate", "words"))
     totals.commit("bpe", rollup.inserts(counts, RANKS, "tokens"))
-    totals.commit("copies", rollup.deletes(copies, "words", "words").unionByName(rollup.deletes(copies, RANKS, "tokens")))
+    totals.commit("copies", functools.reduce(DataFrame.unionByName, copies))
     totals.commit("words", rollup.inserts(counts, "words", "estimate"))
     return totals.totals()
 
