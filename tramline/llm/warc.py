@@ -39,6 +39,8 @@ LEVEL = 3
 _GZIP = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+# The record types of WARC 1.1.
+_TYPES = {"warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation"}
 _URN = "urn:tramline:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EMPTY = zlib.compress(b"", LEVEL, 31)
@@ -119,6 +121,8 @@ def _record(data: bytes, at: int = 0) -> tuple[Found, int]:
         if not colon:
             raise ValueError("malformed header")
         header[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+    if header.get("warc-type") not in _TYPES:
+        raise ValueError("unknown type")
     if not header.get("content-length", "").isdecimal():
         raise ValueError("no length")
     start, stop = end + 4, end + 4 + int(header["content-length"])
