@@ -144,7 +144,7 @@ def with_poisson(df: DataFrame, count: str, most: int = 200) -> DataFrame:
     joined = df.join(table, k == F.col("_k"), "left").drop("_k")
     near = F.sqrt(k.cast("double")) * 1.96
     return joined.withColumns({
-        "lo95": F.coalesce("low", F.greatest(k - near, F.lit(0.0))), "hi95": F.coalesce("high", k + near), "rse": F.when(k > 0, 1 / F.sqrt(k.cast("double"))),
+        "lo95": F.coalesce("low", F.when(k.isNotNull(), F.greatest(k - near, F.lit(0.0)))), "hi95": F.coalesce("high", k + near), "rse": F.when(k > 0, 1 / F.sqrt(k.cast("double"))),
     }).drop("low", "high")
 
 

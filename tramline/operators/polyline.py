@@ -7,7 +7,7 @@ partitioned by the line's id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,19 @@ from pyspark.sql import functions as F
 from tramline.functions.geo import hypot, point_segment_distance, position_on_segment
 
 
+def _heads(line: Column) -> Column:
+    return F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0)))
+
+
+def _tails(line: Column) -> Column:
+    return F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0)))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body and the lambdas in it use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def line(x: Column, y: Column) -> Column:
     """The array of (x, y) of two parallel arrays; a third ordinate, if any, is simply not passed on."""
     return F.zip_with(x, y, lambda a, b: F.struct(a.alias("x"), b.alias("y")))
@@ -24,9 +37,8 @@ def line(x: Column, y: Column) -> Column:
 
 def array_length(points: Column) -> Column:
     """Planar length of a line, as an expression over the array."""
-    size = F.size(points)
-    steps = F.zip_with(F.slice(points, 1, F.greatest(size - 1, F.lit(0))), F.slice(points, 2, F.greatest(size, F.lit(1))), lambda a, b: hypot(b["x"] - a["x"], b["y"] - a["y"]))
-    return F.aggregate(F.filter(steps, lambda s: s.isNotNull()), F.lit(0.0), lambda total, s: total + s)
+    steps = lambda p: F.zip_with(_heads(p), _tails(p), lambda a, b: hypot(b["x"] - a["x"], b["y"] - a["y"]))
+    return F.aggregate(_let(points, steps), F.lit(0.0), lambda total, s: total + s)
 
 
 def vertices(lines: DataFrame, key: str = "id", points: str = "points") -> DataFrame:
@@ -43,9 +55,8 @@ def segments(lines: DataFrame, key: str = "id", points: str = "points") -> DataF
     """
     others = [c for c in lines.columns if c != points]
     p = F.col(points)
-    heads = F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))
-    pairs = F.zip_with(heads, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
-    measured = F.transform(F.filter(pairs, lambda s: s["bx"].isNotNull()), lambda s: F.struct(s["ax"].alias("ax"), s["ay"].alias("ay"), s["bx"].alias("bx"), s["by"].alias("by"), hypot(s["bx"] - s["ax"], s["by"] - s["ay"]).alias("length")))
+    pairs = F.zip_with(_heads(p), _tails(p), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+    measured = F.transform(pairs, lambda s: F.struct(s["ax"].alias("ax"), s["ay"].alias("ay"), s["bx"].alias("bx"), s["by"].alias("by"), hypot(s["bx"] - s["ax"], s["by"] - s["ay"]).alias("length")))
     with_length = lines.select(*others, measured.alias("s"))
     total = F.aggregate("s", F.lit(0.0), lambda t, s: t + s["length"])
     rows = with_length.select(*others, total.alias("total"), "s", F.posexplode("s").alias("pos", "seg"))
@@ -86,9 +97,9 @@ def _interpolated(lines: DataFrame, key: str, points: str, wanted: Column) -> Da
     """x and y at the distances that `wanted` gives as an array from the column total."""
     p = F.col(points)
     others = [c for c in lines.columns if c != points]
-    steps = F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"), hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("l")))
+    steps = F.zip_with(_heads(p), _tails(p), lambda a, b: F.struct(a.alias("a"), b.alias("b"), hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("l")))
     begin = F.struct(F.lit(0.0).alias("at"), F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>,l:double,s:double>>").alias("out"))
-    run = F.aggregate(F.filter(steps, lambda s: s["l"].isNotNull()), begin, lambda st, s: F.struct((st["at"] + s["l"]).alias("at"), F.concat(st["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"), s["l"].alias("l"), st["at"].alias("s")))).alias("out")))
+    run = F.aggregate(steps, begin, lambda st, s: F.struct((st["at"] + s["l"]).alias("at"), F.concat(st["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"), s["l"].alias("l"), st["at"].alias("s")))).alias("out")))
     measured = lines.select(*others, p.alias(points), run.alias("run")).withColumn("total", F.col("run.at"))
     rows = measured.select(*others, points, "total", F.col("run.out").alias("out"), F.posexplode(wanted).alias("j", "at"))
     # The last segment that begins at or before the distance holds the point.
@@ -234,14 +245,16 @@ def splice(first: Column, middle: Column, last: Column) -> Column:
 
 def without_repeats(points: Column) -> Column:
     """The line without vertices equal to the one before."""
-    return F.filter(points, lambda p, i: (i == 0) | (p != F.element_at(points, F.greatest(i, F.lit(1)))))
+    return _let(points, lambda line: F.filter(line, lambda p, i: (i == 0) | (p != F.element_at(line, F.greatest(i, F.lit(1))))))
 
 
 def shoelace(points: Column) -> Column:
     """Area of the ring of an array's vertices, closed if it isn't."""
-    turned = F.concat(F.slice(points, 2, F.greatest(F.size(points), F.lit(1))), F.slice(points, 1, 1))
-    cross = F.zip_with(points, turned, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return F.abs(F.aggregate(cross, F.lit(0.0), lambda t, c: t + c)) / 2
+
+    def cross(line: Column) -> Column:
+        return F.zip_with(line, F.concat(_tails(line), F.slice(line, 1, 1)), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+
+    return F.abs(F.aggregate(_let(points, cross), F.lit(0.0), lambda t, c: t + c)) / 2
 
 
 def quantised(points: Column, scale: float = 1e5) -> Column:
@@ -261,7 +274,7 @@ def halved_jumps(points: Column, most: int = 30000, rounds: int = 18) -> Column:
 
 
 def _too_long(line: Column, most: int) -> Column:
-    return F.exists(F.zip_with(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))), F.slice(line, 2, F.greatest(F.size(line), F.lit(1))), lambda a, b: F.greatest(F.abs(b["x"] - a["x"]), F.abs(b["y"] - a["y"]))), lambda d: d > most)
+    return F.exists(F.zip_with(_heads(line), _tails(line), lambda a, b: F.greatest(F.abs(b["x"] - a["x"]), F.abs(b["y"] - a["y"]))), lambda d: d > most)
 
 
 def _with_middle(a: Column, b: Column, most: int) -> Column:
@@ -272,11 +285,12 @@ def _with_middle(a: Column, b: Column, most: int) -> Column:
 
 def deltas(points: Column) -> Column:
     """Differences of whole points; the first stays."""
-    def less(p: Column, i: Column) -> Column:
-        before = F.element_at(points, F.greatest(i, F.lit(1)))
-        return F.when(i == 0, p).otherwise(F.struct((p["x"] - before["x"]).alias("x"), (p["y"] - before["y"]).alias("y")))
 
-    return F.transform(points, less)
+    def less(line: Column) -> Column:
+        steps = F.zip_with(_heads(line), _tails(line), lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
+        return F.concat(F.slice(line, 1, 1), steps)
+
+    return _let(points, less)
 
 
 def undeltas(steps: Column, scale: float = 1e5) -> Column:
