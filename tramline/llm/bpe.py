@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tramline.llm.common import slices
+from tramline.llm.common import map_arrow, slices
 
 #: Characters that a text may have before it is encoded piece by piece.
 LONG = 1 << 16
@@ -84,7 +84,7 @@ def encode(df: DataFrame, keys: Sequence[str], ranks: str, pattern: str, text: s
             packed = pa.array([x.tobytes() for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], counts, packed], names)
 
-    return df.select(*keys, text).mapInArrow(run, schema)
+    return map_arrow(df.select(*keys, text), run, schema)
 
 
 def decode(df: DataFrame, keep: Sequence[str], ranks: str, pattern: str, ids: str = "token_ids") -> DataFrame:
@@ -99,4 +99,4 @@ def decode(df: DataFrame, keep: Sequence[str], ranks: str, pattern: str, ids: st
             raw = [enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(raw, pa.binary())], names)
 
-    return df.select(*keep, ids).mapInArrow(run, schema)
+    return map_arrow(df.select(*keep, ids), run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 #: ASCII white space; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch that goes to a worker.
+BATCH = 8 << 20
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -84,6 +88,14 @@ def shuffle_width(df: DataFrame, bytes_each: int) -> int:
     return max(own, -(-size // bytes_each)) if size < 1 << 60 else own
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with Arrow batches of at most BATCH bytes, so long texts don't fill a worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(key))) > BATCH:
+        conf.set(key, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The same rows in short batches, so that what Python holds at a time stays small."""
     for batch in batches:

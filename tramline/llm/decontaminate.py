@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import slices, stage, utf8
+from tramline.llm.common import map_arrow, slices, stage, utf8
 
 PASSAGE = 32
 RANK = 96
@@ -193,7 +193,7 @@ def _numbered(docs: DataFrame, key: str, vocabulary: dict[bytes, int]) -> DataFr
             raw, ends = term.astype("<i4", copy=False).tobytes(), (np.cumsum(sizes) * 4).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary())], [key, "terms"])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema[key], T.StructField("terms", T.BinaryType())]))
+    return map_arrow(docs, run, T.StructType([docs.schema[key], T.StructField("terms", T.BinaryType())]))
 
 
 def _frequencies(terms: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -209,7 +209,7 @@ def _frequencies(terms: DataFrame, size: int) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], passages))], ["term", "n"])
 
-    counts = terms.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = map_arrow(terms, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(size + 1, np.int64)
     for term, n in counts:
         df[term] = n
@@ -245,7 +245,7 @@ def _latent(terms: DataFrame, vocabulary: dict[bytes, int], pieces: list[list[by
         part = [context.partitionId() % fan if context else 0] * len(parts)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(part, pa.int32()), pa.array([rows] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["slice", "part", "n", "matrix"])
 
-    parts = terms.mapInArrow(run, "slice int, part int, n long, matrix binary")
+    parts = map_arrow(terms, run, "slice int, part int, n long, matrix binary")
     for keys in (["slice", "part"], ["slice"]):
         if "part" not in keys:
             parts = parts.select("slice", "n", "matrix")
@@ -331,7 +331,7 @@ def _search(docs: DataFrame, key: str, item_type: T.DataType, items: list[_Item]
                 columns = [pa.array(c, t) if t else pa.array(c) for c, t in zip(zip(*out, strict=True), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return numbered.mapInArrow(run, schema)
+    return map_arrow(numbered, run, schema)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, key: str, item: str = "item_id", text: str = "text", rank: int = RANK, block: int = BLOCK) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import slices, stage, utf8
+from tramline.llm.common import map_arrow, slices, stage, utf8
 
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE = 20_000
@@ -89,7 +89,7 @@ def document_statistics(df: DataFrame, key: str, text: str = "text") -> DataFram
             rows = np.array([statistics(t) for t in utf8(batch.column(1))], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], [key, *COUNTS])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return map_arrow(df.select(key, text), run, schema)
 
 
 def features(counts: np.ndarray) -> np.ndarray:
@@ -206,7 +206,7 @@ def judge(stats: DataFrame, forest: Forest | None, threshold: float = 0.5) -> Da
             kept = ~failed & ((score >= threshold) | np.isnan(score))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(failed), pa.array(score, from_pandas=True), pa.array(kept)], names)
 
-    return stats.mapInArrow(run, schema)
+    return map_arrow(stats, run, schema)
 
 
 def verdict(forest: Forest | None, threshold: float = 0.5):

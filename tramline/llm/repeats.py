@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import free_shuffles, shuffle_width, slices, stage, utf8
+from tramline.llm.common import free_shuffles, map_arrow, shuffle_width, slices, stage, utf8
 
 WINDOW = 35
 #: Words that a map-side chunk gathers before it is packed, and known words that a worker remembers.
@@ -280,7 +280,7 @@ def repeat_spans(df: DataFrame, key: str, text: str = "text", window: int = WIND
         if held.size:
             yield packed()
 
-    packed = rows.select("id", "check", "text").mapInArrow(probe, "bucket int, probes binary, asks binary, told binary")
+    packed = map_arrow(rows.select("id", "check", "text"), probe, "bucket int, probes binary, asks binary, told binary")
     anchors = stage(packed.groupBy("bucket").applyInArrow(_answer_blocks, "id long, check long, block long"), "repeat-anchors")
     del packed
     free_shuffles(spark)
@@ -306,7 +306,7 @@ def repeat_spans(df: DataFrame, key: str, text: str = "text", window: int = WIND
         if held.size:
             yield from packed()
 
-    packed = anchored.mapInArrow(extend, "bucket int, repeated binary, values binary, asks binary, told binary")
+    packed = map_arrow(anchored, extend, "bucket int, repeated binary, values binary, asks binary, told binary")
     found = stage(packed.groupBy("bucket").applyInArrow(_answer_windows, "id long, check long, start long, length long"), "repeat-windows")
     del packed
     free_shuffles(spark)
@@ -342,4 +342,4 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = WI
             )
 
     joined = _keyed(df, key, text).join(spans.hint("shuffle_hash"), ["id", "check"], "left")
-    return joined.select(F.col("key").alias(key), "text", "spans").mapInArrow(run, schema)
+    return map_arrow(joined.select(F.col("key").alias(key), "text", "spans"), run, schema)

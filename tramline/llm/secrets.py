@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import exists, slices, text_or_empty
+from tramline.llm.common import exists, map_arrow, slices, text_or_empty
 
 #: Rule kinds in the order in which spans of one start are listed; the first three are the base rules.
 KINDS = ("assign", "access", "hex", "pem", "forge")
@@ -113,7 +113,7 @@ def scan(versions: DataFrame, path: str, keys: Sequence[str], text: str = "text"
     secrets, only with with_text and only where there are any).
     """
     spark = versions.sparkSession
-    unseen(versions, path, text, rule_version).mapInArrow(_scan(rule_version, with_text), FINDINGS).write.mode("append").parquet(path)
+    map_arrow(unseen(versions, path, text, rule_version), _scan(rule_version, with_text), FINDINGS).write.mode("append").parquet(path)
     rows = versions.select(*keys, F.sha2(text_or_empty(text), 256).alias("blob"))
     return rows.join(ledger(spark, path, rule_version).drop("rule_version"), "blob", "left").select(
         *keys, "blob", "n_assign", "n_access", "n_hex", "base_spans", "spans", "redacted"

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import slices, stage, utf8
+from tramline.llm.common import map_arrow, slices, stage, utf8
 
 SEED = 42
 SHINGLE = 3
@@ -69,7 +69,7 @@ def fingerprints(df: DataFrame, key: str, text: str = "text", width: int = SHING
             prints = np.array([fingerprint(t, width) for t in utf8(batch.column(1))], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], [key, "fp"])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return map_arrow(df.select(key, text), run, schema)
 
 
 def _half(fp, k: int):

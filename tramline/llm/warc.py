@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import slices, utf8
+from tramline.llm.common import map_arrow, slices, utf8
 
 #: Bytes from which an equal payload is written as a revisit.
 REVISIT = 1000
@@ -84,7 +84,7 @@ def write(df: DataFrame, path: str, key: str, url: str = "url", payload: str = "
             rows = zip(keys, urls, utf8(batch.column(2)), digests, targets, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([member(record(*r))[:-1] for r in rows], pa.binary())], ["value"])
 
-    packed = joined.select("key", "url", "payload", "digest", target.alias("refers_to")).mapInArrow(pack, "value binary")
+    packed = map_arrow(joined.select("key", "url", "payload", "digest", target.alias("refers_to")), pack, "value binary")
     lines = packed.select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", "\0").option("maxRecordsPerFile", records).text(path)
 
@@ -230,4 +230,4 @@ def read(spark: SparkSession, path: str, with_payload: bool = False, glob: str =
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
-    return files.mapInArrow(parse, READ)
+    return map_arrow(files, parse, READ)
