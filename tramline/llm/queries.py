@@ -117,4 +117,29 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_latent_decontamination": op10_latent_decontamination,
 }
-ORACLES: dict[str, str] = {}
+_SIDE = """string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY k)"""
+
+ORACLES: dict[str, str] = {
+    "op5_preference_chat": f"""WITH c AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 1 AS rej, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations),
+p AS (SELECT pair_id FROM c GROUP BY ALL HAVING bool_or(rej) AND bool_or(NOT rej)),
+m AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.k, b.k) AS k, coalesce(a.role = b.role AND a.text = b.text, false) AS same
+  FROM (SELECT * FROM c WHERE NOT rej) a FULL JOIN (SELECT * FROM c WHERE rej) b ON a.pair_id = b.pair_id AND a.k = b.k),
+n AS (SELECT pair_id, CAST(coalesce(min(k) FILTER (NOT same) - 1, max(k)) AS INTEGER) AS n FROM m GROUP BY ALL),
+r AS (SELECT c.*, n, length('<|' || role || '|>' || chr(10)) AS head, length(text) + 8 AS body FROM c JOIN p USING (pair_id) JOIN n USING (pair_id)),
+o AS (SELECT *, sum(CASE WHEN k > n THEN head + body ELSE 0 END) OVER (PARTITION BY pair_id, rej ORDER BY k) - body AS s FROM r)
+SELECT pair_id, n AS n_prefix, coalesce({_SIDE.replace("ORDER BY k)", "ORDER BY k) FILTER (NOT rej AND k <= n)")}, '') AS prompt,
+  coalesce({_SIDE.replace("ORDER BY k)", "ORDER BY k) FILTER (NOT rej AND k > n)")}, '') AS chosen, coalesce({_SIDE.replace("ORDER BY k)", "ORDER BY k) FILTER (rej AND k > n)")}, '') AS rejected,
+  coalesce(string_agg(s || ':' || (s + body), ',' ORDER BY k) FILTER (NOT rej AND k > n AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(s || ':' || (s + body), ',' ORDER BY k) FILTER (rej AND k > n AND role = 'assistant'), '') AS rejected_mask FROM o GROUP BY pair_id, n""",
+    "op6_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages), g AS (SELECT h, max(page_id) AS first FROM p WHERE b >= 1000 GROUP BY h)
+SELECT page_id, b AS payload_bytes, p.h AS payload_digest, CASE WHEN b >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN b >= 1000 AND page_id <> first THEN first END AS refers_to FROM p LEFT JOIN g ON g.h = p.h""",
+    "op8_repeats": r"""WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS win FROM w, range(1, len(ws) - 33) AS t(i)),
+d AS (SELECT win FROM p GROUP BY win HAVING count(*) > 1),
+m AS (SELECT DISTINCT r, k FROM p SEMI JOIN d USING (win), range(p.i, p.i + 35) AS t(k)),
+x AS (SELECT r, k, ws[k] AS word FROM w, range(1, len(ws) + 1) AS t(k)),
+g AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.k) FILTER (m.k IS NULL) AS kept, count(m.k) AS gone FROM x LEFT JOIN m ON m.r = x.r AND m.k = x.k GROUP BY x.r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON g.r = w.r""",
+}
