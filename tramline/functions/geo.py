@@ -89,6 +89,19 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return F.lit(2 * EARTH_RADIUS) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))))
 
 
+def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Distance in metres on the WGS 84 ellipsoid by Lambert's formula: within a few parts in a million for street lengths."""
+    a, f = 6378137.0, 1 / 298.257223563
+    b1, b2 = (F.atan((1 - f) * F.tan(F.radians(v))) for v in (lat1, lat2))
+    h = F.pow(F.sin((b2 - b1) / 2), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    s = 2 * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    p, q = (b1 + b2) / 2, (b2 - b1) / 2
+    half = s / 2
+    x = (s - F.sin(s)) * F.pow(F.sin(p) * F.cos(q), 2) / F.nullif(F.pow(F.cos(half), 2), F.lit(0.0))
+    y = (s + F.sin(s)) * F.pow(F.cos(p) * F.sin(q), 2) / F.nullif(F.pow(F.sin(half), 2), F.lit(0.0))
+    return F.when(h == 0, F.lit(0.0)).otherwise(a * (s - f / 2 * (x + y)))
+
+
 def equirectangular(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Distance in metres on a plane that is right near the first position."""
     return F.hypot((lon2 - lon1) * DEGREE_LON * F.cos(F.radians(lat1)), (lat2 - lat1) * DEGREE_LAT)

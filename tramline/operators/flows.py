@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.bins import BINS, time_bin
+from tramline.operators.prefix import running_sum
 
 
 def trips_from_events(events: DataFrame, person: str, time_us: Column, mode: str, order: list[str]) -> DataFrame:
@@ -91,20 +92,18 @@ def assign(short: DataFrame, long: DataFrame, fallback: DataFrame) -> DataFrame:
 def budgeted(cube: DataFrame, segment: str, traffic: Column, budget: int) -> DataFrame:
     """The cube's rows of the busiest segments while their rows together stay within the budget.
 
-    Per-segment sums are cut off by a running sum; it is global, so it runs on segments, not on the cube's rows.
+    The running sum is over segments, not over the cube's rows.
     """
     sizes = cube.groupBy(segment).agg(F.count(F.lit(1)).alias("rows"), F.sum(traffic).alias("traffic"))
-    by = Window.orderBy(F.col("traffic").desc(), segment).rowsBetween(Window.unboundedPreceding, 0)
-    chosen = sizes.withColumn("sum", F.sum("rows").over(by)).where(F.col("sum") <= budget).select(segment)
-    return cube.join(chosen, segment, "left_semi")
+    summed = running_sum(sizes, [F.col("traffic").desc(), F.col(segment)], F.col("rows"), "sum")
+    return cube.join(summed.where(F.col("sum") <= budget).select(segment), segment, "left_semi")
 
 
 def row_starts(cube: DataFrame, segment: str) -> DataFrame:
     """segment, ordinal, row_start, rows: offsets of each segment in the cube sorted by segment."""
     sizes = cube.groupBy(segment).agg(F.count(F.lit(1)).alias("rows"))
-    by = Window.orderBy(segment)
-    before = F.sum("rows").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")
-    return sizes.select(segment, (F.row_number().over(by) - 1).alias("ordinal"), before.alias("row_start"), "rows")
+    numbered = running_sum(running_sum(sizes, [F.col(segment)], F.lit(1), "number"), [F.col(segment)], F.col("rows"), "upto")
+    return numbered.select(segment, (F.col("number") - 1).cast("int").alias("ordinal"), (F.col("upto") - F.col("rows")).alias("row_start"), "rows")
 
 
 def fitted_profile(shape: DataFrame, periods: DataFrame, group: str) -> DataFrame:
@@ -124,3 +123,14 @@ def with_fallback(links: DataFrame, group: str, value: str, least: int = 10) ->
     overall = links.agg(F.median(value).alias("overall"))  # one row
     groups = links.groupBy(group).agg(F.median(value).alias(value), F.count(F.lit(1)).alias("n"))
     return groups.join(F.broadcast(overall)).select(group, value, "n", F.when(F.col("n") >= least, F.col(value)).otherwise(F.col("overall")).alias("used"))
+
+
+def rerouted(trips: DataFrame, routes: DataFrame, key: str = "trip_id") -> DataFrame:
+    """trips with the points and match of a network route where the first matching had left them "straight".
+
+    routes: key, points. Trips that have been matched, or have no route, stay as they are.
+    """
+    new = routes.select(key, F.col("points").alias("_new"))
+    joined = trips.join(new, key, "left")
+    take = (F.col("match") == "straight") & F.col("_new").isNotNull()
+    return joined.withColumns({"points": F.when(take, F.col("_new")).otherwise(F.col("points")), "match": F.when(take, "osm_network").otherwise(F.col("match"))}).drop("_new")

@@ -9,33 +9,16 @@ reach, which a grid join supplies. So no worker needs the whole network.
 from __future__ import annotations
 
 import heapq
-import tempfile
-import uuid
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.operators.prefix import kept
 from tramline.operators.snap import pairs_within
 
 
-def _shared(spark: SparkSession) -> str:
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tramline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: the plan of a loop must not grow with its rounds."""
-    path = f"{_shared(df.sparkSession)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def junctions(segments: DataFrame, key: str = "edge_id", digits: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, x, y) and edges (edge_id, src, dst, length) of segments (ax, ay, bx, by, length).
 

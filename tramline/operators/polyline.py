@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.functions.geo import hypot, point_segment_distance, position_on_segment
+from tramline.functions.geo import equirectangular, hypot, point_segment_distance, position_on_segment
 
 
 def _heads(line: Column) -> Column:
@@ -304,6 +304,22 @@ def undeltas(steps: Column, scale: float = 1e5) -> Column:
     return F.aggregate(steps, begin, step, lambda st: st["out"])
 
 
+def timed_positions(steps: Column, t0: Column, t1: Column, scale: float = 1e5) -> Column:
+    """array<struct<x, y, t>> of a coded trip: positions from differences, times by distance at even speed.
+
+    Distances are on a plane that is right near each segment's first point, for positions in degrees.
+    """
+
+    def timed(line: Column) -> Column:
+        lengths = F.zip_with(_heads(line), _tails(line), lambda a, b: equirectangular(a["x"], a["y"], b["x"], b["y"]))
+        begin = F.struct(F.lit(0.0).alias("at"), F.array(F.lit(0.0)).alias("all"))
+        run = F.aggregate(lengths, begin, lambda st, d: F.struct((st["at"] + d).alias("at"), F.concat(st["all"], F.array(st["at"] + d)).alias("all")))
+        share = lambda d, total: F.coalesce(F.try_divide(d, F.nullif(total, F.lit(0.0))), F.lit(0.0))
+        return _let(run, lambda r: F.zip_with(line, r["all"], lambda p, d: F.struct(p["x"].alias("x"), p["y"].alias("y"), (t0 + share(d, r["at"]) * (t1 - t0)).alias("t"))))
+
+    return _let(undeltas(steps, scale), timed)
+
+
 def _douglas_peucker(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
     keep = np.zeros(len(x), bool)
     keep[[0, -1]] = True

@@ -62,3 +62,26 @@ def painted(roads: DataFrame, count: str, thin: int = 5, slow: Column | None = N
     index = slow if slow is not None else F.col("slow_index")
     paint = F.when(F.col(count) <= 0, "none").when(few, "thin").when(index > 1.25, "slow").when(index < 0.8, "fast").otherwise("even")
     return roads.withColumns({"thin": few, "paint": paint})
+
+
+def positional_join(a: DataFrame, b: DataFrame, row: str = "source_row") -> DataFrame:
+    """Rows of two aligned sources side by side, by the row number that both were given when they were read.
+
+    Sources of different length are not aligned: that raises, before anything is joined.
+    """
+    n, m = a.count(), b.count()
+    if n != m:
+        raise ValueError(f"sources are not aligned: {n} and {m} rows")
+    return a.join(b, row)
+
+
+def with_zero(roads: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
+    """roads with a value for each key, 0 where there is none."""
+    return roads.join(values.select(key, value), key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(0)))
+
+
+def checked_join(flows: DataFrame, streets: DataFrame, key: str) -> DataFrame:
+    """flows with their streets; a flow on a street that isn't there raises, by an error in the row itself, not by a second job."""
+    found = flows.join(streets.withColumn("_there", F.lit(True)), key, "left")
+    message = F.concat(F.lit("no street "), F.col(key).cast("string"))
+    return found.withColumn("_there", F.coalesce(F.col("_there"), F.raise_error(message).cast("boolean"))).where("_there").drop("_there")

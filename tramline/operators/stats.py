@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.operators.prefix import running_sum
+
 
 def with_average_rank(df: DataFrame, value: str, out: str, by: list[str] = ()) -> DataFrame:
     """df with the mean rank of equal values, from 1; null values have none and count for none.
@@ -12,8 +14,11 @@ def with_average_rank(df: DataFrame, value: str, out: str, by: list[str] = ()) -
     Ranks come from the counts of distinct values, so the sort is over distinct values, not over rows.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    order = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn(out, F.sum("_c").over(order) - (F.col("_c") - 1) / 2).drop("_c")
+    if by:
+        upto = counts.withColumn("_u", F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        upto = running_sum(counts, [F.col(value)], F.col("_c"), "_u")
+    ranks = upto.withColumn(out, F.col("_u") - (F.col("_c") - 1) / 2).drop("_c", "_u")
     return df.join(ranks, [*by, value], "left")
 
 
@@ -77,8 +82,7 @@ def lower_quantile(df: DataFrame, value: str, q: float, default: float = 1.0) ->
     """
     counts = df.where(F.col(value) > 0).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
     total = counts.agg(F.sum("c").alias("n"))  # one row
-    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    picked = counts.withColumn("upto", upto).join(F.broadcast(total)).where(F.col("upto") > F.floor(F.lit(q) * (F.col("n") - 1)))
+    picked = running_sum(counts, [F.col("v")], F.col("c"), "upto").join(F.broadcast(total)).where(F.col("upto") > F.floor(F.lit(q) * (F.col("n") - 1)))
     return picked.agg(F.coalesce(F.min("v"), F.lit(default)).alias("value"))
 
 
