@@ -142,3 +142,29 @@ def test_reconciliation(spark):
     b = frame(spark, [(1, 2.0), (2, None), (4, 1.0)], "k long, v double")
     assert tuple(stats.matches(a, b, ["k"], ["v"]).first()) == (3, 3, 2)
     assert bins.poisson_interval(0)[0] == 0
+
+
+def test_running_sum_in_ranges(spark):
+    from tramline.operators.prefix import running_sum
+
+    df = frame(spark, [(i * 37 % 101, i % 5) for i in range(101)], "k long, w long")
+    one, two = ({r.k: r.s for r in running_sum(df, [F.col("k").desc()], F.col("w"), "s", small).collect()} for small in (1 << 40, 0))
+    assert one == two and len(one) == 101
+
+
+def test_aligned_and_checked_joins(spark):
+    a, b = frame(spark, [(0, "x"), (1, "y")], "source_row long, a string"), frame(spark, [(1, 2.0), (0, 1.0)], "source_row long, b double")
+    assert {(r.a, r.b) for r in roads.positional_join(a, b).collect()} == {("x", 1.0), ("y", 2.0)}
+    with pytest.raises(ValueError):
+        roads.positional_join(a, b.where("b > 1"))
+    assert {r.a: r.b for r in roads.with_zero(a, b.where("b > 1"), "source_row", "b").collect()} == {"x": 0, "y": 2}
+    assert roads.checked_join(a, b, "source_row").count() == 2
+    with pytest.raises(Exception, match="no street 0"):
+        roads.checked_join(a, b.where("b > 1"), "source_row").collect()
+
+
+def test_rerouted(spark):
+    kind = "trip_id long, match string, points array<int>"
+    trips = frame(spark, [(1, "straight", [1]), (2, "osm_route", [2]), (3, "straight", [3])], kind)
+    new = frame(spark, [(1, [9]), (2, [9])], "trip_id long, points array<int>")
+    assert {r.trip_id: (r.match, r.points) for r in flows.rerouted(trips, new).collect()} == {1: ("osm_network", [9]), 2: ("osm_route", [2]), 3: ("straight", [3])}

@@ -120,3 +120,10 @@ def test_poisson_join(spark):
     df = spark.createDataFrame([(0,), (4,), (400,), (None,)], "k long")
     got = {r.k: (r.lo95, r.hi95, r.rse) for r in bins.with_poisson(df, "k").collect()}
     assert got[4][2] == 0.5 and got[0][2] is None and got[400][:2] == pytest.approx((360.8, 439.2)) and got[None] == (None, None, None)
+
+
+def test_geodesic(spark):
+    # A degree of latitude at the equator and near a pole, and of longitude at the equator.
+    args = [(0, 0, 0, 1, 110574.4), (0, 89, 0, 90, 111693.9), (0, 0, 1, 0, 111319.5), (5, 5, 5, 5, 0)]
+    for *c, want in args:
+        assert one(spark, geo.geodesic(*[F.lit(float(v)) for v in c]))[0] == pytest.approx(want, abs=3)

@@ -124,3 +124,9 @@ def test_project_and_routes(spark):
     verts = points(spark, [("far", 0.0, 1.0), ("far", 50.0, 0.0), ("near", 0.0, 2.0), ("near", 10.0, 1.0)], "route string, x double, y double")
     r = snap.route_candidates(trips, verts, 5.0).first()
     assert (r.route, r.d1, r.d2) == ("near", 2, 1)
+
+
+def test_timed_positions(spark):
+    steps = F.array(*[F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for x, y in ((0, 0), (0, 100000), (0, 300000))])
+    got = spark.range(1).select(polyline.timed_positions(steps, F.lit(0.0), F.lit(80.0)).alias("p")).first().p
+    assert [(p["x"], p["y"], p["t"]) for p in got] == [(0, 0, 0), (0, 1, pytest.approx(20)), (0, 4, pytest.approx(80))]
