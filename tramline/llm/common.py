@@ -10,7 +10,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch that goes to a worker.
 BATCH = 8 << 20
 
+#: Bytes of texts that a worker works on at a time.
+PIECE = 2 << 20
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -96,11 +101,19 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    """The same rows in short batches, so that what Python holds at a time stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches, of at most `most` bytes of texts unless one row has more: what Python holds stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(ends):
+            before = int(ends[at - 1]) if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, side="right"))))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -8,7 +8,7 @@ dimensions: one distributed pass forms the product of the Gram matrix with a ran
 summed over two levels, and the driver factors the small rest (Nystrom's method). Another pass projects
 overlapping passages, compares each with all pieces, and checks the pairs whose cosine reaches COSINE: around the
 passage the longest common subsequence with the item must cover LCS of its words within a stretch little longer
-than the item, and ANSWER of the words of its last sentence.
+than the item, and, unless it covers SURE of them, ANSWER of the words of its last sentence.
 
 Texts are read once for each block of items and written to the shared folder as term numbers, which is all that
 counting, factoring, searching and checking need. Items are taken in blocks of bounded size, so what workers hold does not grow with the benchmark; only a block's
@@ -40,10 +40,13 @@ RANK = 96
 OVERSAMPLE = 16
 STOP = 0.05
 COSINE = 0.6
-LCS = 0.6
+#: Unrelated texts reach up to 0.45 of an item's words, which are mostly common ones; copies have 1.
+LCS = 0.5
+SURE = 0.7
 ANSWER = 0.5
-#: Items that are searched for at a time.
+#: Items, and bytes of their texts, that are searched for at a time.
 BLOCK = 2000
+BLOCK_BYTES = 8 << 20
 SEED = 20
 
 _ROWS = 64  # terms in a slice of the product matrix
@@ -179,7 +182,9 @@ class _Item:
         for at in range(low, max(low + 1, high - span + max(1, n // 8)), max(1, n // 8)):
             near = words[at : at + span]
             common = lcs(near, self.masks, n)
-            if common >= LCS * n and (best is None or common > best[0]) and lcs(near, self.answer, self.tail) >= ANSWER * self.tail:
+            if common < LCS * n or (best is not None and common <= best[0]):
+                continue
+            if common >= SURE * n or lcs(near, self.answer, self.tail) >= ANSWER * self.tail:
                 best = (common, at, min(at + span, len(words)))
         return best
 
@@ -339,7 +344,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str, item: str
     docs = documents.select(key, text)
     spark = documents.sparkSession
     filled = benchmark.select(item, text).where(F.length(F.coalesce(text, F.lit(""))) > 0)
-    blocks = max(1, -(-filled.count() // block))
+    n, size = filled.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    blocks = max(1, -(-n // block), -(-size // BLOCK_BYTES))
     parts = []
     for b in range(blocks):
         own = filled if blocks == 1 else filled.where(F.pmod(F.xxhash64(item, text), F.lit(blocks)) == b)

@@ -3,7 +3,8 @@
 Each document is a point of normalised metadata: logarithm of its size, and hashes of language and source, which
 give each value a fixed place. A node of the tree that is to become k shards is split along its widest dimension
 where the weights, UTF-8 bytes plus OVERHEAD, reach floor(k / 2) / k of its total; ties go by a hash of the text and
-the key, so copies lie side by side and a node of equal points still splits. Levels of the tree are processed for
+the key, so copies lie side by side and a node of equal points still splits. Of each cut a row or two may change
+sides, if that brings the cut nearer to its goal. Levels of the tree are processed for
 all nodes at once. A weighted median over any number of rows is exact and distributed: rows are dealt by range of
 (node, coordinate, ties), each range's sum per node gives the ranges' offsets, and a running sum within a range
 gives the rest, so no task ever holds a whole node or shard. The driver only learns the totals of at most `shards`
@@ -24,6 +25,8 @@ from tramline.llm.common import shuffle_width, stage
 SHARDS = 40
 #: Bytes that a document weighs beside its text.
 OVERHEAD = 16
+#: Rows of each cut that may change sides, one after the other.
+SWAPS = 2
 #: Bytes of metadata input for each range.
 RANGE = 64 << 20
 
@@ -56,6 +59,20 @@ def running(df: DataFrame, group: str, order: list[str], weight: Column, ranges:
     return joined.withColumn("before", F.col("before") + F.col("offset")).drop("g", "r", "offset", "range", "weight")
 
 
+def _corrections(cut: DataFrame) -> DataFrame:
+    """node, swap: for each node the running sum before the one row that, put on the other side, brings the cut nearest to its goal.
+
+    A cut between rows misses its goal by half a row's bytes; where the shards are large this is nothing, where a
+    shard is a few documents it is much of it.
+    """
+    over = cut.groupBy("low").agg(F.sum(F.when(F.col("left"), F.col("size")).otherwise(0)).alias("held"), F.first("goal").alias("aim"))
+    over = over.select(F.col("low").alias("node"), (F.col("held") - F.col("aim")).alias("over"))  # at most `shards` rows
+    both = cut.join(F.broadcast(over), F.col("low") == F.col("node")).where((F.col("half") > 0) & (F.col("left") == (F.col("over") > 0)))
+    rest = F.abs(F.abs("over") - F.col("size"))
+    best = both.where(rest < F.abs("over")).groupBy("node").agg(F.min(F.struct(rest.alias("rest"), "before")).alias("m"))
+    return best.select("node", F.col("m.before").alias("swap"))
+
+
 def kd_shards(df: DataFrame, key: str, text: str = "text", lang: str = "lang", source: str = "source", shards: int = SHARDS) -> DataFrame:
     """key, size, text_crc32, shard and slot (gapless from 0 within the shard) of each row."""
     ranges = min(shuffle_width(df, RANGE), 100_000)
@@ -76,12 +93,17 @@ def kd_shards(df: DataFrame, key: str, text: str = "text", lang: str = "lang", s
         # A row goes left if its middle lies before the share of bytes that the left shards are to hold.
         goal = F.col("node_bytes") * half / (F.col("high") - F.col("low"))
         left = (half > 0) & (F.col("before") + F.col("size") / 2 <= goal)
-        done = half == 0
-        nodes = summed.select(
+        cut = summed.select("key", "size", "text_crc32", "text_hash", "at", "low", "high", "before", half.alias("half"), goal.alias("goal"), left.alias("left"))
+        cut = stage(cut, f"kd-cut-{level}")
+        for _ in range(SWAPS):
+            moves = F.broadcast(_corrections(cut))  # at most `shards` rows
+            swapped = F.col("before").eqNullSafe(F.col("swap"))
+            cut = cut.join(moves, F.col("low") == F.col("node"), "left").withColumn("left", F.when(swapped, ~F.col("left")).otherwise(F.col("left"))).drop("node", "swap")
+        is_left = F.col("left")
+        nodes = cut.select(
             "key", "size", "text_crc32", "text_hash", "at",
-            F.when(done | left, F.col("low")).otherwise(F.col("low") + half).alias("low"),
-            F.when(~done & left, F.col("low") + half).otherwise(F.col("high")).alias("high"),
+            F.when((F.col("half") == 0) | is_left, F.col("low")).otherwise(F.col("low") + F.col("half")).alias("low"),
+            F.when((F.col("half") > 0) & is_left, F.col("low") + F.col("half")).otherwise(F.col("high")).alias("high"),
         )
-        nodes = stage(nodes, f"kd-nodes-{level}")
     placed = running(nodes, "low", ["key", "text_hash"], F.lit(1).cast("long"), ranges, "kd-slots")
     return placed.select(F.col("key").alias(key), "size", "text_crc32", F.col("low").cast("int").alias("shard"), F.col("before").alias("slot"))
