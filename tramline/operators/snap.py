@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.geo import hypot
+from tramline.operators.prefix import kept
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -58,7 +59,7 @@ def nearest_in_rings(probes: DataFrame, network: DataFrame, start: float, keys:
         tried = nearest(left, network, radius, keys, target, strict=False)
         part = tried.where(F.col(target).isNotNull())
         found = part if found is None else found.unionByName(part)
-        left = tried.where(F.col(target).isNull()).select(*probes.columns).checkpoint() if probes.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else tried.where(F.col(target).isNull()).select(*probes.columns)
+        left = kept(tried.where(F.col(target).isNull()).select(*probes.columns))
         if left.isEmpty():
             return found
         radius *= 2
