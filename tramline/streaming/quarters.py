@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tramline.operators.prefix import shared_dir
+
 
 def windowed(stream: DataFrame, ts: str, dim: str, width: str = "15 minutes", late: str = "1 day") -> DataFrame:
-    """dim, start, n: counts in tumbling windows; rows later than the watermark are dropped, which bounds the state."""
+    """dim, start, n: counts in tumbling windows. In append and update mode the watermark bounds the state; complete mode keeps all."""
     at = stream.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late)
     counts = at.groupBy(F.window("_at", width).alias("w"), dim).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(dim, F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
@@ -29,12 +30,10 @@ def _opened(spark: SparkSession, path: str) -> DataFrame:
 def counted(spark: SparkSession, path: str, ts: str, dim: str) -> DataFrame:
     """All of a Parquet path through the stream once, into a Parquet table in the shared folder.
 
-    One file may hold all rows in any order, so the watermark is wide enough for a batch of any content: the
-    stream ends with the data (availableNow), and state is emitted when the watermark passes the last window,
-    which complete mode, written per batch, does not wait for.
+    The stream ends with the data (availableNow). Rows may come in any order over all time, so nothing may count as
+    late: the query runs in complete mode, whose state is one row for each window and value.
     """
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tramline-")).rstrip("/")
-    out = f"{shared}/quarters-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/quarters-{uuid.uuid4().hex}"
     source = _opened(spark, path)
 
     def put(batch: DataFrame, _: int) -> None:
