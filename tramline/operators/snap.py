@@ -27,9 +27,18 @@ def within(probes: DataFrame, network: DataFrame, radius: float, strict: bool =
     return joined.where(F.col("distance") < radius if strict else F.col("distance") <= radius)
 
 
+def spread(probes: DataFrame, keys: list[str]) -> DataFrame:
+    """probes dealt by their keys over all tasks.
+
+    Few bytes of probes can make many pairs, which the size of the input does not tell the planner; and what is
+    grouped by the probe after a broadcast join is then where it belongs already.
+    """
+    return probes.repartition(int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def nearest(probes: DataFrame, network: DataFrame, tolerance: float, keys: list[str], target: str, strict: bool = True) -> DataFrame:
     """For each probe (by keys) the nearest target of the network below the tolerance, the smaller of two; null if there is none."""
-    hits = within(probes.select(*keys, "x", "y"), network.select(target, "x", "y"), tolerance, strict)
+    hits = within(spread(probes.select(*keys, "x", "y"), keys), network.select(target, "x", "y"), tolerance, strict)
     best = hits.groupBy(*keys).agg(F.min(F.struct("distance", target)).alias("_b"))
     found = best.select(*keys, F.col("_b.distance").alias("distance"), F.col(f"_b.{target}").alias(target))
     return probes.join(found, keys, "left")
@@ -70,7 +79,7 @@ def nearest_in_rings(probes: DataFrame, network: DataFrame, start: float, keys:
 def busiest_around(probes: DataFrame, network: DataFrame, radius: float, keys: list[str], value: str, name: str | None = None) -> DataFrame:
     """For each probe the largest value within the radius, and with name that of its point; the larger name of two."""
     columns = [value] + ([name] if name else [])
-    hits = within(probes.select(*keys, "x", "y"), network.select(*columns, "x", "y"), radius)
+    hits = within(spread(probes.select(*keys, "x", "y"), keys), network.select(*columns, "x", "y"), radius)
     best = hits.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_b"))
     return probes.join(best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in columns]), keys, "left")
 
