@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 from math import exp, lgamma, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,6 +124,7 @@ def _solve(low: float, high: float, above) -> float:
     return (low + high) / 2
 
 
+@cache
 def poisson_interval(k: int, level: float = 0.95) -> tuple[float, float]:
     """The exact interval of a Poisson mean, given a count (Garwood)."""
     tail = (1 - level) / 2
