@@ -51,8 +51,8 @@ def test_text_forms(spark):
     assert one(spark, text.url_parameters(F.lit("http://x/y?a=1&b=2&a=3#top")))[0] == {"b": "2", "a": "3"}
     assert tuple(one(spark, text.clock(F.lit(65)), text.clock(F.lit(1500)), text.clock(F.lit(-1)))) == ("01:05", "01:00", "23:59")
     assert str(one(spark, text.date_of(F.lit(20190331)))[0]) == "2019-03-31"
-    df = spark.createDataFrame([("GÃ¶teborg",), ("Göteborg",), ("plain",), (None,), ("â‚¬ och Ã¥",)], "t string")
-    assert [r[0] for r in df.select(text.repair_mojibake(F.col("t"))).collect()] == ["Göteborg", "Göteborg", "plain", None, "€ och å"]
+    df = spark.createDataFrame([("MalmÃ¶",), ("Malmö",), ("plain",), (None,), ("â‚¬ och Ã¥",)], "t string")
+    assert [r[0] for r in df.select(text.repair_mojibake(F.col("t"))).collect()] == ["Malmö", "Malmö", "plain", None, "€ och å"]
 
 
 def test_projection(spark):
