@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tramline.llm import simhash
 
@@ -81,3 +82,47 @@ def test_documents(spark):
     got = Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(df, "doc_id").collect())
     assert got == want
     assert simhash.near_duplicates(df.limit(0), "doc_id").count() == 0
+
+
+def test_similar_matches_brute_force_jaccard(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [None, "", " ", "one two", "One  two"]
+    for _ in range(12):
+        base = rng.choices(vocabulary, k=rng.randrange(60, 200))
+        for changes in (0, 0, 1, 1, 2, 3, 4, 6, 9):
+            words = list(base)
+            for k in rng.sample(range(len(words)), changes):
+                words[k] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    hot = rng.choices(vocabulary, k=150)  # a large group, linked over chains
+    for _ in range(150):
+        words = list(hot)
+        for k in rng.sample(range(150), rng.randrange(1, 6)):
+            words[k] = rng.choice(vocabulary)
+        texts.append(" ".join(words))
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    group = list(range(len(texts)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                far += (brute_print(texts[i]) ^ brute_print(texts[j])).bit_count() > 2
+                a, b = find(i), find(j)
+                group[max(a, b)] = min(a, b)
+    assert far > 50  # what two bits of op9 do not reach
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df, "doc_id").collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert simhash.similar(df.limit(0), "doc_id").count() == 0
+    import corpus_pipeline
+
+    docs = df.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    assert {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()} == {i for i in range(len(texts)) if find(i) == i}

@@ -16,6 +16,14 @@ Defined results: a null or empty text has fingerprint zero and links like any ot
 than a shingle has one shingle of all its words; repeated rows and exact copies share a fingerprint and so a
 component; ties (a bit set in exactly half of the hashes) are 0; a null id stays null and never names a
 component unless all ids of it are null; an empty table gives an empty result; other columns are not read.
+
+similar() links by resemblance instead: texts whose sets of five-word shingles have a Jaccard similarity of LIKE or
+more. Such texts differ in up to a dozen or more of the 64 bits, and balls that wide meet nearly every fingerprint,
+so its candidates share a band of MinHash values and every link is verified on the whole sets. A pair at just 0.8
+shares none of the bands with a chance of 3 in a million, more alike ones with a smaller one. Texts of one set are one class. Twice each bucket of a band is
+compared with one of its members, a different one in each bucket; then what is still apart in a bucket is compared
+with all the rest of it, so a large group of near copies is never compared pair by pair within a component. Null and
+empty texts are one class; ids are treated as above.
 """
 
 from __future__ import annotations
@@ -37,22 +45,37 @@ RADIUS = 2
 #: Fingerprints that one key of a segment's table may hold before lookups go by the full fingerprint.
 HOT = 256
 
+#: Words of a shingle and the Jaccard similarity from which similar() links.
+WIDE = 5
+LIKE = 0.8
+#: Bands of a signature and MinHash values in each.
+BANDS = 24
+VALUES = 4
+
 _LOW = (1 << 32) - 1
+_DRAW = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * VALUES), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    """The unsigned 64-bit fingerprint of a text in UTF-8."""
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """The hashes of a text's shingles, with repeats; none of a text without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     line = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     pairs = zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(line[a:b], SEED) for a, b in pairs], "<u8")
+    return np.array([digest(line[a:b], SEED) for a, b in pairs], "<u8")
+
+
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    """The unsigned 64-bit fingerprint of a text in UTF-8."""
+    hashes = shingles(text, width)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -144,3 +167,81 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text", width: int = SH
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select(key, "fp", "component_id")
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    """Of a set of shingles, a number for each band of its MinHash signature."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * VALUES, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 1 << 10):
+        np.minimum(least, (hashes[at : at + (1 << 10), None] * _DRAW[0] + _DRAW[1]).min(0), out=least)
+    raw = least.astype("<u8").tobytes()
+    step = 8 * VALUES
+    return [xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], k) for k in range(BANDS)]
+
+
+def _sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """key, fp long (a digest of the set of shingles), bands and the set itself, a row for each row."""
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("hashes", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            sets = [np.unique(shingles(t, width)) for t in utf8(batch.column(1))]
+            raw = [s.tobytes() for s in sets]
+            fp = np.array([xxhash.xxh64_intdigest(r, SEED) for r in raw], "<u8").view("<i8")
+            bands = [np.array(_bands(s), "<u8").view("<i8") for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(raw, pa.binary())], ["key", "fp", "bands", "hashes"])
+
+    return map_arrow(df.select(F.col(key).alias("key"), text), run, schema)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have a Jaccard similarity of `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                n, m = len(x) // 8, len(y) // 8
+                both = np.sort(np.concatenate([np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")]))
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(common >= least * (n + m - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    one = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x"))
+    two = sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
+    # Sets of too different sizes cannot be alike.
+    sized = pairs.join(one, "a").join(two, "b").where(F.least(F.length("x"), F.length("y")) >= F.lit(least) * F.greatest(F.length("x"), F.length("y")))
+    return map_arrow(sized.select("a", "b", "x", "y"), run, "a long, b long")
+
+
+def similar(df: DataFrame, key: str, text: str = "text", width: int = WIDE, least: float = LIKE) -> DataFrame:
+    """key, fp long and component_id (the smallest key reachable over pairs of Jaccard similarity `least`), a row for each row."""
+    sketches = stage(_sketches(df, key, text, width), "similar-sketches")
+    classes = stage(sketches.groupBy("fp").agg(F.min("key").alias("least"), F.first("bands").alias("bands")), "similar-classes")
+    rows = classes.select("fp", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").count().where(F.col("count") > 1).select("band")
+    members = stage(rows.join(shared, "band", "left_semi"), "similar-buckets")
+    inside = members.select("fp").distinct()
+    sets = stage(sketches.select("fp", "hashes").join(inside, "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")), "similar-sets")
+    edges, roots = None, None
+    for step in range(3):
+        at = members.withColumn("root", F.col("fp")) if roots is None else members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        parts = at.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp", "band", F.lit(step))).alias("one"), F.min(F.xxhash64("fp", "band", F.lit(step))).alias("order"))
+        heads = parts.groupBy("band").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"), F.min_by("one", "order").alias("centre"), F.min_by("root", "order").alias("of"))
+        open_ = heads.where("roots > 1").drop("roots")
+        here = stage(at.join(open_, "band"), "similar-open")
+        if step < 2:
+            met = here.where("root <> of").select(F.col("fp").alias("a"), F.col("centre").alias("b"))
+        else:
+            apart = here.where("root <> main").select("band", F.col("fp").alias("a"), F.col("root").alias("r"))
+            met = apart.join(here.select("band", F.col("fp").alias("b"), "root"), "band").where("r <> root").select("a", "b")
+        pairs = stage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
+        more = stage(_verified(pairs, sets, least), "similar-links")
+        edges = more if edges is None else edges.unionByName(more)
+        roots = stage(components(edges).withColumnRenamed("node", "fp"), "similar-roots")
+    rooted = classes.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
+    return sketches.select(F.col("key").alias(key), "fp").join(labels, "fp").select(key, "fp", "component_id")
