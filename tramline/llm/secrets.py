@@ -24,18 +24,31 @@ from tramline.llm.common import exists, map_arrow, slices, text_or_empty
 #: Rule kinds in the order in which spans of one start are listed; the first three are the base rules.
 KINDS = ("assign", "access", "hex", "pem", "forge")
 BASE = KINDS[:3]
-RULE_VERSION = "2024.1"
+RULE_VERSION = "2024.2"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A maximal run that is too short is dropped in any case, so the length may stand in the pattern.
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
-_FORGE = re.compile(r"gh[opsu]_[A-Za-z0-9]{36,}")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
+# A body without its END line: header lines, then words of base64, broken by white space or written-out line ends.
+# Words that could be prose (short, of letters only) are not of the body, but for its last one.
+_BODY = re.compile(r"(?:(?:\r?\n|(?:\\r)?\\n)[A-Za-z-]+: [^\r\n\\]*)*(?:(?:\s|\\[rn])*(?:[A-Za-z0-9+/=]{16,}|[A-Za-z]*[0-9+/=][A-Za-z0-9+/=]*))*(?:(?:\s|\\[rn])*[A-Za-z0-9+/=]+)?", re.ASCII)
+_FORGE = re.compile(r"gh[oprsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{36,}")
 
 FINDINGS = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_spans string, spans string, redacted string"
 
 
+def _pem(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of private keys: through the END line of the same name, or the base64 run where that is missing."""
+    heads = list(_PEM.finditer(text))
+    for i, m in enumerate(heads):
+        bound = heads[i + 1].start() if i + 1 < len(heads) else len(text)
+        end = f"-----END {m[1]}-----"
+        at = text.find(end, m.end(), bound)
+        yield m.start(), at + len(end) if at >= 0 else _BODY.match(text, m.end(), bound).end()
+
+
 def find(text: str) -> list[tuple[int, int, int]]:
     """(start, rank of the kind, end) of all spans in code points, sorted."""
     found = []
@@ -46,8 +59,8 @@ def find(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if "-----BEGIN " in text:
-        found += [(m.start(), 3, m.end()) for m in _PEM.finditer(text)]
-    if "gh" in text:
+        found += [(start, 3, end) for start, end in _pem(text)]
+    if "gh" in text or "github_pat_" in text:
         found += [(m.start(), 4, m.end()) for m in _FORGE.finditer(text)]
     return sorted(found)
 
