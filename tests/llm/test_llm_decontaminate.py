@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tramline.llm import decontaminate as d
 
@@ -89,3 +90,22 @@ def test_blocks_of_items_give_the_same_leaks(spark):
     assert got == set(leaks.items())
     assert d.contaminated(df.limit(0), bench, "doc_id").count() == 0
     assert d.contaminated(df, bench.limit(0), "doc_id").count() == 0
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_a_paraphrase_that_a_third_of_the_rows_hold_is_found(spark, same):
+    rng = random.Random(9)
+    docs, items, leaks = make(spark, 7)
+    clean = [(i, " ".join(t.split()[:120])) for i, t in docs[:300]]
+    item, others = items[30].split(), [w for t in items for w in t.split()]
+
+    def copy():
+        words = [w if k % 6 else rng.choice(others) for k, w in enumerate(item)]
+        return " ".join(rng.choices(others, k=30) + words + rng.choices(others, k=30))
+
+    text = copy()
+    hot = [(5000 + i, text if same else copy()) for i in range(150)]
+    df = spark.createDataFrame(clean + hot, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(df, bench, "doc_id").collect()}
+    assert got == {(i, 30) for i, _ in hot}

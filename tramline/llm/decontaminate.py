@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval (operator 10).
 
 Texts are cut into passages, benchmark items into pieces of at most PASSAGE words. Index terms are the benchmark's
-words; their document frequencies are counted over all passages of all documents, and terms found in more than
-STOP of these carry no weight unless an item has no others. A randomised singular value decomposition of the
-TF-IDF rows of all passages, with the pieces' rows raised to the same total weight, gives a latent space of RANK
+words; their document frequencies are counted over all passages of all documents. Terms carry no weight if more than
+STOP of these have them and the benchmark's own distinct pieces have them as often, so that many copies of one item
+in the documents take no weight from its words; a piece that would still lose LOST of its words keeps all of them.
+A randomised singular value decomposition of the TF-IDF rows of all passages, with the pieces' rows raised to the same total weight, gives a latent space of RANK
 dimensions: one distributed pass forms the product of the Gram matrix with a random matrix, whose slices are
 summed over two levels, and the driver factors the small rest (Nystrom's method). Another pass projects
 overlapping passages, compares each with all pieces, and checks the pairs whose cosine reaches COSINE: around the
@@ -39,6 +40,7 @@ PASSAGE = 32
 RANK = 96
 OVERSAMPLE = 16
 STOP = 0.05
+LOST = 0.7
 COSINE = 0.6
 #: Unrelated texts reach up to 0.45 of an item's words, which are mostly common ones; copies have 1.
 LCS = 0.5
@@ -286,13 +288,15 @@ def _search(docs: DataFrame, key: str, item_type: T.DataType, items: list[_Item]
     numbered = stage(_numbered(docs, key, vocabulary), "leak-terms")
     terms = numbered.select("terms")
     df, passages = _frequencies(terms, len(vocabulary))
-    common = df > STOP * passages
-    for item in items:
-        own = [vocabulary[w] for w in item.words]
-        if common[own].all():
-            common[own] = False
-    idf = np.where(common, 0, np.log1p(passages / (df + 1)))
     pieces = [(p, i) for i, item in enumerate(items) for p in item.pieces(PASSAGE)]
+    distinct = [[vocabulary[w] for w in p] for p in {tuple(p) for p, _ in pieces}]
+    own = np.bincount(np.fromiter(chain.from_iterable(set(p) for p in distinct), np.int64), minlength=len(vocabulary))
+    # A few pieces more, as in a small benchmark one piece is a large share.
+    common = (df > STOP * passages) & (own > STOP * len(distinct) + 3)
+    kept = [p for p in distinct if common[p].mean() >= LOST]
+    for p in kept:
+        common[p] = False
+    idf = np.where(common, 0, np.log1p(passages / (df + 1)))
     owner = np.array([i for _, i in pieces])
     matrix = _latent(terms, vocabulary, [p for p, _ in pieces], idf, rank)
     term, sizes = _numbers(vocabulary, [p for p, _ in pieces])
