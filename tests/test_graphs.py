@@ -103,3 +103,28 @@ def test_transfers_and_bounded_search(spark):
     pairs = spark.createDataFrame([("0:0", "1000:0", 100.0), ("1000:0", "0:0", 100.0), ("0:0", "3000:0", 300.0)], "src string, dst string, chord double")
     got = graph.bounded_paths(pairs, nodes, edges, tile=100.0).orderBy("src", "dst", "step").collect()
     assert [(r.src, r.dst, r.edge_id, r.forward) for r in got] == [("0:0", "1000:0", 1, True), ("0:0", "1000:0", 2, True), ("1000:0", "0:0", 2, False), ("1000:0", "0:0", 1, False)]
+
+
+def test_betweenness_query_takes_all_sources_of_a_small_graph(spark):
+    import os
+
+    import pytest
+
+    from tramline.plans import graphs
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("needs the driver's tables")
+    edges = [(r.a, r.b, r.weight) for r in graphs.edges(spark, d).collect()]
+    nodes = {n for a, b, _ in edges for n in (a, b)}
+    assert 12 < len(nodes) <= 400
+    credit = defaultdict(int)
+    for s in nodes:
+        best, pred = dijkstra(edges, s)
+        for n in best:
+            while n != s:
+                credit[min(n, pred[n]), max(n, pred[n])] += 1
+                n = pred[n]
+    got = {(r.a, r.b): r.betweenness for r in graphs.betweenness_sampled(spark, d).collect()}
+    assert set(got) == {(a, b) for a, b, _ in edges}
+    assert all(abs(v - credit[k] / (len(nodes) * (len(nodes) - 1))) < 1e-8 for k, v in got.items())
