@@ -75,6 +75,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """stage() for a last result: the folders made since scratch_count() was `since`, and idle shuffles, are deleted."""
+    spark, own = df.sparkSession, _made[since:]
+    out = stage(df, name)
+    for _, path in own:
+        delete(spark, path)
+    del _made[since : since + len(own)]
+    free_shuffles(spark)
+    return out
+
+
+def scratch_count() -> int:
+    return len(_made)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of frames that are out of scope."""
     gc.collect()

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import map_arrow, slices, stage, utf8
+from tramline.llm.common import free_shuffles, map_arrow, scratch_count, settled, slices, stage, utf8
 
 SEED = 42
 SHINGLE = 3
@@ -218,6 +218,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def similar(df: DataFrame, key: str, text: str = "text", width: int = WIDE, least: float = LIKE) -> DataFrame:
     """key, fp long and component_id (the smallest key reachable over pairs of Jaccard similarity `least`), a row for each row."""
+    since = scratch_count()
     sketches = stage(_sketches(df, key, text, width), "similar-sketches")
     classes = stage(sketches.groupBy("fp").agg(F.min("key").alias("least"), F.first("bands").alias("bands")), "similar-classes")
     rows = classes.select("fp", F.explode("bands").alias("band"))
@@ -225,6 +226,7 @@ def similar(df: DataFrame, key: str, text: str = "text", width: int = WIDE, leas
     members = stage(rows.join(shared, "band", "left_semi"), "similar-buckets")
     inside = members.select("fp").distinct()
     sets = stage(sketches.select("fp", "hashes").join(inside, "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")), "similar-sets")
+    free_shuffles(df.sparkSession)
     edges, roots = None, None
     for step in range(3):
         at = members.withColumn("root", F.col("fp")) if roots is None else members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -244,4 +246,5 @@ def similar(df: DataFrame, key: str, text: str = "text", width: int = WIDE, leas
     rooted = classes.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return sketches.select(F.col("key").alias(key), "fp").join(labels, "fp").select(key, "fp", "component_id")
+    # The sets are as large as the texts: they go before the caller reads these once more.
+    return settled(sketches.select(F.col("key").alias(key), "fp").join(labels, "fp").select(key, "fp", "component_id"), "similar", since)
