@@ -181,17 +181,18 @@ def _bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], k) for k in range(BANDS)]
 
 
-def _sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """key, fp long (a digest of the set of shingles), bands and the set itself, a row for each row."""
-    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("hashes", T.BinaryType())])
+def _sketches(df: DataFrame, key: str, text: str, width: int, whole: bool = False) -> DataFrame:
+    """key, fp long (a digest of the set of shingles) and its bands, or the whole set as hashes, a row for each row."""
+    last = T.StructField("hashes", T.BinaryType()) if whole else T.StructField("bands", T.ArrayType(T.LongType()))
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("fp", T.LongType()), last])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
             sets = [np.unique(shingles(t, width)) for t in utf8(batch.column(1))]
             raw = [s.tobytes() for s in sets]
             fp = np.array([xxhash.xxh64_intdigest(r, SEED) for r in raw], "<u8").view("<i8")
-            bands = [np.array(_bands(s), "<u8").view("<i8") for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(raw, pa.binary())], ["key", "fp", "bands", "hashes"])
+            out = pa.array(raw, pa.binary()) if whole else pa.array([np.array(_bands(s), "<u8").view("<i8") for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), out], schema.names)
 
     return map_arrow(df.select(F.col(key).alias("key"), text), run, schema)
 
@@ -225,7 +226,11 @@ def similar(df: DataFrame, key: str, text: str = "text", width: int = WIDE, leas
     shared = rows.groupBy("band").count().where(F.col("count") > 1).select("band")
     members = stage(rows.join(shared, "band", "left_semi"), "similar-buckets")
     inside = members.select("fp").distinct()
-    sets = stage(sketches.select("fp", "hashes").join(inside, "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")), "similar-sets")
+    # Sets are larger than texts: they are made again, and only of one row of each class that shares a band.
+    ones = classes.join(inside, "fp", "left_semi").select("least").distinct()
+    texts = df.select(key, text).join(ones, F.col(key).eqNullSafe(F.col("least")), "left_semi")
+    sets = _sketches(texts, key, text, width, True).join(inside, "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes"))
+    sets = stage(sets, "similar-sets")
     free_shuffles(df.sparkSession)
     edges, roots = None, None
     for step in range(3):
@@ -246,5 +251,5 @@ def similar(df: DataFrame, key: str, text: str = "text", width: int = WIDE, leas
     rooted = classes.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    # The sets are as large as the texts: they go before the caller reads these once more.
+    # The sets go before the caller reads the texts once more.
     return settled(sketches.select(F.col("key").alias(key), "fp").join(labels, "fp").select(key, "fp", "component_id"), "similar", since)
