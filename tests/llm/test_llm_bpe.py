@@ -45,3 +45,34 @@ def test_decoding_gives_raw_bytes(spark, plain):
     df = spark.createDataFrame([(packed,), (None,)], "token_ids binary")
     out = [r.decoded for r in bpe.decode(df, [], NAME, public_tokenizers.PATTERN).collect()]
     assert out == [plain.decode_bytes(half), b""]
+
+
+def test_long_white_space_is_encoded_as_the_pattern_would(plain):
+    enc = bpe.encoding(NAME, public_tokenizers.PATTERN)
+    mixed = " \n\t\r\x0b\x85\xa0\u2003\u3000"
+    for n in [*range(1, 64), *range(64, 2001, 37), 2000]:
+        for run in (" " * n, "\n" * n, "\u3000" * n, (mixed * n)[:n]):
+            for text in (run, run + "word", "word" + run, f"a{run}b{run}", f".{run}1 {run}\u00e9", f"{run}'s{run}\x1c{run}"):
+                assert bpe.encode_text(enc, text, run=8).tolist() == plain.encode_ordinary(text), (n, text[:5])
+
+
+@pytest.mark.parametrize("run", [" " * 1_000_000, "\n" * 1_000_000, "\u3000" * 1_000_000, " \n\t" * 400_000, " " * 20_000_000])
+def test_very_long_white_space_survives(plain, run):
+    enc = bpe.encoding(NAME, public_tokenizers.PATTERN)
+    for text in (run, "a" + run, run + "a", "a" + run + "b" + run + "c") if len(run) < 2_000_000 else ("a" + run + "b",):
+        ids = bpe.encode_text(enc, text)
+        assert plain.decode_bytes(ids.tolist()) == text.encode()
+        # What is put before or behind a run changes no id far from it.
+        short = text.replace(run, run[:60_000])
+        assert ids[:1000].tolist() == plain.encode_ordinary(short)[:1000]
+
+
+def test_long_white_space_through_spark(spark, plain):
+    texts = [" " * 3_000_000, "x" + "\n" * 2_000_000 + "y", "word " * 400_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = bpe.encode(df, ["doc_id"], NAME, public_tokenizers.PATTERN)
+    got = {r.doc_id: bytes(r.decoded) for r in bpe.decode(ids, ["doc_id", "token_ids"], NAME, public_tokenizers.PATTERN).collect()}
+    assert got == {i: t.encode() for i, t in enumerate(texts)}
+    other = bpe.encoding(NAME, r"\p{L}+|\s*[\r\n]+|\s+(?!\S)|\s+")
+    with pytest.raises(ValueError):
+        bpe.encode_text(other, "\n" * 10_000)

@@ -8,6 +8,11 @@ own, so repeated rows give repeated results and an empty table an empty one; onl
 others may have any name. A text of any length is encoded whole: beyond LONG characters it is cut where the
 pattern always ends a match, before a space or line break that follows a character other than white space, so
 that the ids are those of the uncut text.
+
+White space of more than RUN characters never meets the pattern, whose look-ahead would go back over all of it and
+fail. For a pattern that ends in TAIL the match is known without it: such a run is one match, at the end of a text
+whole, before anything else without its last character, with which the next match begins. With another pattern a
+run as long raises ValueError, as tiktoken itself would for some hundred thousand characters.
 """
 
 from __future__ import annotations
@@ -29,9 +34,18 @@ from tramline.llm.common import map_arrow, slices
 #: Characters that a text may have before it is encoded piece by piece.
 LONG = 1 << 16
 
+#: Characters of white space in a row from which a run is cut out of its text.
+RUN = 1 << 12
+
+#: What a pattern ends in for which runs are cut out; it may have no other way to begin a match with two of \s.
+TAIL = r"|\s+(?!\S)|\s+"
+
 #: Python's \s contains all white space of the pattern's \s, so what \S matches is not white space there either.
 _SAFE = re.compile(r"(?<=\S)(?=[ \n\t\r])")
 
+# Fixed value: the characters with Unicode's property White_Space, which are the pattern's \s.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 @functools.cache
 def encoding(ranks: str, pattern: str) -> tiktoken.Encoding:
@@ -61,12 +75,36 @@ def safe_pieces(text: str, most: int = LONG) -> list[str]:
     return pieces
 
 
-def encode_text(enc: tiktoken.Encoding, text: str | None, most: int = LONG) -> np.ndarray:
+@functools.cache
+def _runs(length: int) -> re.Pattern:
+    return re.compile(f"[{_SPACE}]{{{length},}}")
+
+
+def parts_of(text: str, run: int = RUN) -> Iterator[tuple[str, bool]]:
+    """The text cut around its long runs of white space, and whether a part is one match as a whole."""
+    start = 0
+    if len(text) >= run:
+        for m in _runs(run).finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            yield text[start : m.start()], False
+            yield text[m.start() : end], True
+            start = end
+    yield text[start:], False
+
+
+def encode_text(enc: tiktoken.Encoding, text: str | None, most: int = LONG, run: int = RUN) -> np.ndarray:
     """The ids of one text as little-endian unsigned 32-bit integers."""
-    if not text:
+    ids = []
+    for part, whole in parts_of(text or "", run):
+        if whole:
+            tail = enc._pat_str.removesuffix(TAIL)
+            if tail == enc._pat_str or r"\s*" in tail or r"\s+" in tail:
+                raise ValueError(f"white space of {len(part)} characters and a pattern without {TAIL}")
+            ids.append(np.array(enc._encode_single_piece(part), "<u4"))
+        elif part:
+            ids += [enc.encode_to_numpy(p, disallowed_special=()) for p in safe_pieces(part, most)]
+    if not ids:
         return np.empty(0, "<u4")
-    pieces = safe_pieces(text, most)
-    ids = [enc.encode_to_numpy(p, disallowed_special=()) for p in pieces]
     return (ids[0] if len(ids) == 1 else np.concatenate(ids)).astype("<u4", copy=False)
 
 
