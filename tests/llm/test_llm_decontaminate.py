@@ -34,22 +34,48 @@ def test_lcs_and_answers():
 def test_latent_space_keeps_what_dense_algebra_keeps():
     rng = np.random.default_rng(0)
     terms, cells = 60, 300
-    cell = np.repeat(np.arange(cells), 12)
     # Few themes, so that few dimensions carry nearly all.
-    term = (rng.integers(0, 5, cells)[cell] * 12 + rng.integers(0, 12, len(cell))).astype(np.int32)
-    idf = rng.uniform(0.5, 2, terms)
-    dense = np.zeros((cells, terms))
-    np.add.at(dense, (cell, term), 1)
-    dense = dense * idf
+    term = (rng.integers(0, 5, cells)[:, None] * 12 + rng.integers(0, 12, (cells, 12))).astype(np.uint16)
+    term[:20, 9:] = d.TERMS  # shorter passages
+    idf = np.zeros(d.TERMS)
+    idf[:terms] = rng.uniform(0.5, 2, terms)
+    dense = np.zeros((cells, d.TERMS + 1))
+    np.add.at(dense, (np.arange(cells)[:, None], term), 1)
+    dense = dense[:, :terms] * idf[:terms]
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
-    plain = rng.standard_normal((terms, 30))
-    product, n = d.gram_product(term, cell, cells, idf, (plain * idf[:, None]).astype(np.float32))
-    assert n == cells and np.allclose(product, dense.T @ dense @ plain, atol=1e-3)
-    space = d.nystrom(product, plain, 5)
+    plain = rng.standard_normal((d.TERMS, 30))
+    product = np.zeros((d.TERMS, 30), np.float32)
+    assert d.gram_product(term, idf, d._with_zero(plain * idf[:, None]), product) == cells
+    product = (product * idf[:, None])[:terms]
+    assert np.allclose(product, dense.T @ dense @ plain[:terms], atol=1e-3)
+    space = d.nystrom(product, plain[:terms], 5)
     best = np.linalg.svd(dense, full_matrices=False)[2][:5].T
     assert np.linalg.norm(dense @ space) > 0.99 * np.linalg.norm(dense @ best)
 
 
+def test_hashes_do_not_depend_on_the_place():
+    texts = ["One two, THREE\n".encode(), b"", "naïve-été 3 two".encode(), b"x" * 700_000, b"one " * 200_000 + b"two"]
+    words, sizes = d.hashed(texts)
+    assert sizes.tolist() == [3, 0, 4, 1, 200_001]
+    alone = [d.word_hashes(w)[0][0] for w in (b"one", b"two", b"three", "naïve".encode(), "été".encode(), b"3", b"two", b"x" * 700_000)]
+    assert words[:8].tolist() == alone and set(words[8:-1].tolist()) == {alone[0]} and words[-1] == alone[1]
+    assert len(set(alone)) == 7
+
+
+def test_weighted_lcs_and_cells():
+    rng = random.Random(2)
+    for _ in range(100):
+        a, b = (np.array([rng.randrange(5) for _ in range(rng.randrange(1, 15))]) for _ in range(2))
+        w = np.array([rng.random() for _ in a])
+        table = np.zeros((len(a) + 1, len(b) + 1))
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + w[i] if a[i] == b[j] else 0)
+        assert abs(d.weighted_lcs(a, w, b) - table[-1, -1]) < 1e-9
+    cells, text = d.cells_of(np.arange(7, dtype=np.uint32), np.array([3, 0, 4]), 2)
+    assert cells.tolist() == [[0, 1], [2, d.TERMS], [3, 4], [5, 6]] and text.tolist() == [0, 0, 2, 2]
+
+
 def make(spark, seed=3):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
@@ -109,3 +135,56 @@ def test_a_paraphrase_that_a_third_of_the_rows_hold_is_found(spark, same):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in d.contaminated(df, bench, "doc_id").collect()}
     assert got == {(i, 30) for i, _ in hot}
+
+
+def brute(docs, items):
+    """All pairs, all passages: what the checks alone accept."""
+    words = [d.word_hashes((t or "").encode())[0] for _, t in docs]
+    cells = d.cells_of(np.concatenate(words), np.array([len(w) for w in words]), d.PASSAGE)[0]
+    idf = np.log1p(len(cells) / (np.bincount(d._distinct(cells)[1], minlength=d.TERMS) + 1))
+    found = set()
+    for i, text in enumerate(items):
+        item = d.Item(text.encode(), idf)
+        for (k, _), w in zip(docs, words, strict=True):
+            for start in range(0, len(w), d.PASSAGE // 2):
+                m = item.measure(w, start, start + d.PASSAGE)
+                if m and d.accepted(*m[:2]):
+                    found.add((k, i))
+    return found
+
+
+@pytest.mark.parametrize("rate", [0.2, 0.35, 0.5])
+def test_paraphrases_are_found_as_by_brute_force(spark, rate):
+    rng = random.Random(11)
+    docs, items, _ = make(spark, 11)
+    clean = docs[:300]
+    beside = [w for _, t in clean for w in t.split()]
+    planted, wanted = [], set()
+    for kind in range(2):
+        for i, item in enumerate(items):
+            words = item.split()
+            for k in rng.sample(range(len(words)), round(rate * len(words))):
+                words[k] = rng.choice(beside) if kind else f"zq{rng.randrange(10**9)}"
+            key = 2000 + len(planted)
+            planted.append((key, " ".join(rng.choices(beside, k=rng.randrange(60)) + words + rng.choices(beside, k=rng.randrange(60)))))
+            wanted.add((key, i))
+    rows = clean + planted
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), "doc_id").collect()}
+    all_pairs = brute(rows, items)
+    assert got <= all_pairs and len(got & all_pairs) >= 0.95 * len(all_pairs)
+    assert got <= wanted and len(got) >= 0.9 * len(wanted)
+
+
+def test_a_large_benchmark_is_searched_in_bounded_chunks():
+    rng = np.random.default_rng(5)
+    rows, targets = (d._unit(rng.standard_normal((n, 8)).astype(np.float32)) for n in (300, 2000))
+    terms = rng.integers(0, 50, (300, d.PASSAGE)).astype(np.uint16)
+    pieces = rng.integers(0, 50, (2000, d.PASSAGE)).astype(np.uint16)
+    weights = np.full(pieces.shape, 1 / d.PASSAGE, np.float32)
+    before, d.CELLS = d.CELLS, 5000
+    try:
+        got = {(r, p) for r, p, _ in d.candidates(terms, rows, pieces, weights, targets)}
+    finally:
+        d.CELLS = before
+    alike = rows @ targets.T >= d.COSINE
+    assert got == {(r, p) for r, p in zip(*np.nonzero(alike), strict=True) if np.isin(pieces[p], terms[r]).mean() >= d.SHARE}

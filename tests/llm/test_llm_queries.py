@@ -7,6 +7,7 @@ import os
 import pytest
 
 from tests.compare import assert_same, connect
+from tests.llm.test_llm_decontaminate import brute
 from tramline.llm import queries, secrets, simhash
 from tramline.llm.common import stage
 
@@ -65,7 +66,11 @@ def test_secrets_and_fingerprints(spark, db):
 
 def test_leaks(spark, db):
     exact = set(db.execute("SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)").fetchall())
-    assert exact <= {(r.doc_id, r.item_id) for r in queries.op10_latent_decontamination(spark, D).collect()}
+    got = {(r.doc_id, r.item_id) for r in queries.op10_latent_decontamination(spark, D).collect()}
+    assert exact <= got
+    # All pairs of documents and items, by the checks alone.
+    docs, items = (db.execute(f"SELECT {k}, coalesce(text, '') FROM {t} ORDER BY {k}").fetchall() for k, t in (("doc_id", "documents"), ("item_id", "benchmark")))
+    assert got == {(k, items[i][0]) for k, i in brute(docs, [t for _, t in items])}
 
 
 def test_pipeline(spark, db):

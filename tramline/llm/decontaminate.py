@@ -1,31 +1,32 @@
 """Benchmark decontamination by latent semantic retrieval (operator 10).
 
-Texts are cut into passages, benchmark items into pieces of at most PASSAGE words. Index terms are the benchmark's
-words; their document frequencies are counted over all passages of all documents. Terms carry no weight if more than
-STOP of these have them and the benchmark's own distinct pieces have them as often, so that many copies of one item
-in the documents take no weight from its words; a piece that would still lose LOST of its words keeps all of them.
-A randomised singular value decomposition of the TF-IDF rows of all passages, with the pieces' rows raised to the same total weight, gives a latent space of RANK
-dimensions: one distributed pass forms the product of the Gram matrix with a random matrix, whose slices are
-summed over two levels, and the driver factors the small rest (Nystrom's method). Another pass projects
-overlapping passages, compares each with all pieces, and checks the pairs whose cosine reaches COSINE: around the
-passage the longest common subsequence with the item must cover LCS of its words within a stretch little longer
-than the item, and, unless it covers SURE of them, ANSWER of the words of its last sentence.
-
-Texts are read once for each block of items and written to the shared folder as term numbers, which is all that
-counting, factoring, searching and checking need. Items are taken in blocks of bounded size, so what workers hold does not grow with the benchmark; only a block's
-items, its frequencies and its matrix of terms by dimensions reach the driver.
+Texts are cut into passages of PASSAGE words, benchmark items into pieces of at most as many. Terms are all words of
+all texts, hashed into TERMS places; document frequencies are counted over all passages of all documents. A
+randomised singular value decomposition of the TF-IDF rows of all passages, with the pieces' rows raised to the same
+total weight, gives a latent space of RANK dimensions: one distributed pass forms the product of the Gram matrix with
+a random matrix, whose slices are summed over two levels, and the driver factors the small rest (Nystrom's method).
+Another pass projects overlapping passages, compares each with all pieces, and checks the pairs whose cosine reaches
+COSINE and that share SHARE of the piece's weight. Around the passage, within a stretch little longer than the item, the longest common subsequence with the
+item must cover LCS of its words by weight (their inverse document frequency, so that common words, which any two
+texts share in order, count for little) and ANSWER of the weight of its last sentence, or SURE of all its weight.
+
+Texts are read once and written to the shared folder as 32-bit hashes of their words, which is all that counting,
+factoring, searching and checking need; by them two different words count as one with a chance of 2^-32. What a
+worker holds beside a slice of texts is the matrix of TERMS by RANK, whatever the size of corpus and benchmark, and
+the items and pieces of a block; passages meet pieces in bounded chunks. Blocks of at most BLOCK items are searched
+for one after the other, in the same space and the same hashes. Only a block's items, the frequencies and the matrix
+reach the driver.
 
 Defined results: null or empty texts match nothing; null ids are carried through; an item without words matches
 nothing; repeated rows and repeated items each give their own rows; of several places of one item in a document
-the one with the longest common subsequence is reported, the first of ties; an empty table on either side gives an
-empty result; other columns are not read; texts of any length are read whole.
+the one that covers the most is reported, the first of ties; an empty table on either side gives an empty result;
+other columns are not read; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,101 +38,153 @@ from pyspark.sql import types as T
 from tramline.llm.common import map_arrow, slices, stage, utf8
 
 PASSAGE = 32
-RANK = 96
-OVERSAMPLE = 16
-STOP = 0.05
-LOST = 0.7
+#: Places that terms are hashed into.
+TERMS = 1 << 15
+RANK = 64
+OVERSAMPLE = 8
 COSINE = 0.6
-#: Unrelated texts reach up to 0.45 of an item's words, which are mostly common ones; copies have 1.
-LCS = 0.5
-SURE = 0.7
-ANSWER = 0.5
+#: Of a piece's weight, what its words that a passage has must weigh for a closer look. Of a copy of LCS of an item some
+#: passage has three quarters at least, wherever the passages begin; unrelated ones have the common words alone.
+SHARE = 0.2
+#: No text without a leak reached 0.35 of an item's weight in the driver's tables.
+LCS = 0.35
+ANSWER = 0.1
+SURE = 0.4
 #: Items, and bytes of their texts, that are searched for at a time.
-BLOCK = 2000
-BLOCK_BYTES = 8 << 20
+BLOCK = 20_000
+BLOCK_BYTES = 32 << 20
+#: Cosines that a worker computes at a time.
+CELLS = 1 << 21
 SEED = 20
 
-_ROWS = 64  # terms in a slice of the product matrix
-_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_HALF = PASSAGE // 2
+_ROWS = 256  # terms in a slice of the product matrix
+_TABLE = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
 _ENDS = (b".", b"!", b"?")
+_PIECE = 1 << 18  # bytes that are hashed at a time
+_DRAW = np.random.default_rng(SEED).integers(1, 1 << 63, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Runs of letters, digits and non-ASCII bytes, in lower case."""
-    return text.translate(_TABLE).split()
+@functools.lru_cache(2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base modulo 2^64, and of its inverse."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(size + 1, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def word_hashes(text: bytes | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words of a text (runs of letters, digits and non-ASCII bytes, in lower case) 32-bit hashes, and where they begin.
+
+    A word's hash is a polynomial in its bytes, taken from sums over the whole text, so there is no loop over words.
+    """
+    raw = _TABLE[np.frombuffer(text, np.uint8)]
+    hashes, places, at = [], [], 0
+    while at < len(raw):
+        end = min(at + _PIECE, len(raw))
+        if end < len(raw):  # back to the last gap, or on to the next one behind a longer word
+            gaps = np.flatnonzero(raw[at:end] == 32)
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:
+                while end < len(raw) and raw[end] != 32:
+                    end += 1
+        part = raw[at:end]
+        inside = np.zeros(len(part) + 2, np.int8)
+        inside[1:-1] = part != 32
+        edge = np.diff(inside)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        power, inverse = _powers(1 << max(18, (len(part) - 1).bit_length()))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_DRAW[part] * power[: len(part)], out=sums[1:])
+        value = (sums[last] - sums[first]) * inverse[first]
+        value ^= value >> np.uint64(29)
+        value *= np.uint64(0xBF58476D1CE4E5B9)
+        hashes.append((value >> np.uint64(32)).astype(np.uint32))
+        places.append(first + at)
+        at = end
+    if not hashes:
+        return np.empty(0, np.uint32), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of some texts, one text after the other, and how many each has."""
+    lengths = np.array([len(t) + 1 for t in texts], np.int64)
+    found, place = word_hashes(b" ".join(texts))
+    ends = np.cumsum(lengths)
+    upto = np.searchsorted(place, ends)
+    return found, np.diff(np.append(0, upto)) if len(texts) else upto
 
 
 def answer_words(text: bytes) -> int:
     """How many of an item's words its last sentence has; of an item of one sentence, its last third."""
     body = text.rstrip(b" \t\r\n.!?")
     cut = max(body.rfind(e) for e in _ENDS)
-    total = len(words_of(text))
-    last = len(words_of(body[cut + 1 :])) if cut >= 0 else total
+    total = len(word_hashes(text)[0])
+    last = len(word_hashes(body[cut + 1 :])[0]) if cut >= 0 else total
     return last if 0 < last < total else -(-total // 3)
 
 
-def _numbers(vocabulary: dict[bytes, int], words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Of all words of some texts: the term (-1: none); and the texts' lengths."""
-    sizes = np.array([len(w) for w in words], np.int64)
-    return np.fromiter(map(vocabulary.get, chain.from_iterable(words), repeat(-1)), np.int32, int(sizes.sum())), sizes
-
-
-def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By word, the number of its text and its place there."""
-    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    return text, np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
 def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and lengths of texts that were written as term numbers."""
+    """Hashes and lengths of texts that were written as hashes."""
     parts = [x or b"" for x in column.to_pylist()]
-    return np.frombuffer(b"".join(parts), "<i4"), np.array([len(x) // 4 for x in parts], np.int64)
-
-
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and how often each is there."""
-    if len(keys) and keys.max() < 1 << 31:
-        keys = keys.astype(np.int32)
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys)))
-
-
-def _cells(text: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, int, np.ndarray]:
-    """Cells of `width` words: the cell of each word, how many there are, and the text of each cell."""
-    if not len(text):
-        return text, 0, text
-    new = np.ones(len(text), bool)
-    new[1:] = (np.diff(text) != 0) | (place[1:] % width == 0)
-    cell = np.cumsum(new) - 1
-    return cell, int(cell[-1]) + 1, text[new]
-
-
-def _sum_rows(matrix: np.ndarray, rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
-    """Sums of matrix[rows] by group, which is ascending."""
-    out = np.zeros((groups, matrix.shape[1]), matrix.dtype)
-    if len(rows):
-        first = np.flatnonzero(np.append(True, np.diff(group) != 0))
-        out[group[first]] = np.add.reduceat(np.take(matrix, rows, axis=0), first, axis=0)
+    return np.frombuffer(b"".join(parts), "<u4"), np.array([len(x) // 4 for x in parts], np.int64)
+
+
+def cells_of(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of `width` terms, texts cut from their beginnings (TERMS fills the last row of each), and the text of each row."""
+    rows = -(-sizes // width)
+    out = np.full(int(rows.sum()) * width, TERMS, np.uint16)
+    shift = (np.cumsum(rows) - rows) * width - (np.cumsum(sizes) - sizes)
+    out[np.arange(len(words)) + np.repeat(shift, sizes)] = words & np.uint32(TERMS - 1)
+    return out.reshape(-1, width), np.repeat(np.arange(len(sizes)), rows)
+
+
+def _distinct(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and count of the distinct terms of each row."""
+    ordered = np.sort(cells, axis=1)
+    new = np.ones(ordered.shape, bool)
+    new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    first = np.flatnonzero(new)
+    count, term = np.diff(np.append(first, ordered.size)), ordered.ravel()[first]
+    real = term < TERMS
+    return first[real] // cells.shape[1], term[real], count[real]
+
+
+def _gathered(matrix: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Sums of the matrix's rows (its last one is zero) over the terms of each cell."""
+    out = np.empty((len(cells), matrix.shape[1]), np.float32)
+    for at in range(0, len(cells), 512):
+        part = cells[at : at + 512]
+        matrix.take(part.ravel(), axis=0).reshape(*part.shape, -1).sum(1, out=out[at : at + 512])
     return out
 
 
-def gram_product(term: np.ndarray, cell: np.ndarray, cells: int, idf: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, int]:
-    """A'A omega for the rows A, of unit length, of some passages, and how many of them are not zero.
+def _with_zero(matrix: np.ndarray) -> np.ndarray:
+    return np.vstack([matrix, np.zeros((1, matrix.shape[1]))]).astype(np.float32)
+
 
-    omega has its rows multiplied by idf already, and so do the rows returned.
+def gram_product(cells: np.ndarray, idf: np.ndarray, omega: np.ndarray, total: np.ndarray) -> int:
+    """Add A'A omega to total, for the TF-IDF rows A, of unit length, of some passages; how many of them are not zero.
+
+    omega has its rows multiplied by idf already, and a last row of zeros; what is added is not multiplied by idf yet.
     """
-    size = len(idf)
-    weighted = (term >= 0) & (idf[term] > 0)
-    row, column = cell[weighted].astype(np.int64), term[weighted]
-    pair, count = _counted(row * size + column)
-    norm = np.sqrt(np.bincount(pair // size, (count * idf[pair % size]) ** 2, cells))
+    row, term, count = _distinct(cells)
+    norm = np.bincount(row, (count * idf[term]) ** 2, len(cells))
     used = norm > 0
-    norm[~used] = 1
-    # A term that a passage has twice is gathered twice, which is what its weight asks for.
-    dense = _sum_rows(omega, column, row, cells) / (norm**2)[:, None].astype(np.float32)
-    order = np.argsort(column.astype(np.uint16) if size < 1 << 16 else column, kind="stable")
-    return _sum_rows(dense, row[order], column[order], size) * idf[:, None], int(used.sum())
+    dense = _gathered(omega, cells) / np.where(used, norm, 1).astype(np.float32)[:, None]
+    flat = cells.ravel()
+    order = np.argsort(flat, kind="stable")[: int((flat < TERMS).sum())]
+    if len(order):
+        by = flat[order]
+        first = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+        total[by[first]] += np.add.reduceat(dense.take(order // cells.shape[1], axis=0), first, axis=0)
+    return int(used.sum())
 
 
 def nystrom(product: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
@@ -156,117 +209,141 @@ def lcs(words: list[int], masks: dict[int, int], size: int) -> int:
     return size - state.bit_count()
 
 
-class _Item:
-    def __init__(self, key: int | None, text: bytes):
-        self.key, self.words = key, words_of(text)
-        self.tail = answer_words(text)
-        self.masks, self.answer = {}, {}
-
-    def number(self, vocabulary: dict[bytes, int]) -> None:
-        """Prepare check() for texts as term numbers."""
-        for i, w in enumerate(self.words):
-            term = vocabulary[w]
-            self.masks[term] = self.masks.get(term, 0) | 1 << i
-            if (j := i - len(self.words) + self.tail) >= 0:
-                self.answer[term] = self.answer.get(term, 0) | 1 << j
-
-    def pieces(self, most: int) -> list[list[bytes]]:
-        n, parts = len(self.words), -(-len(self.words) // most)
-        return [self.words[i * n // parts : (i + 1) * n // parts] for i in range(parts)]
-
-    def check(self, words: list[int], start: int, end: int) -> tuple[int, int, int] | None:
-        """The longest common subsequence around words[start:end] and its place, if it passes both checks."""
+def weighted_lcs(item: np.ndarray, weight: np.ndarray, words: np.ndarray) -> float:
+    """The greatest weight of a common subsequence of an item, whose words have weights, and some words."""
+    best = np.zeros(len(words) + 1)
+    for h, w in zip(item, weight, strict=True):
+        hit = np.flatnonzero(words == h)
+        if len(hit):
+            here = best.copy()
+            here[hit + 1] = np.maximum(here[hit + 1], best[hit] + w)
+            best = np.maximum.accumulate(here)
+    return float(best[-1])
+
+
+class Item:
+    """A benchmark item, prepared for checks."""
+
+    def __init__(self, text: bytes, idf: np.ndarray):
+        self.words = word_hashes(text)[0]
+        tail = answer_words(text)
+        weight = idf[self.words & np.uint32(TERMS - 1)]
+        self.weight = weight / weight.sum()
+        self.last, self.last_weight = self.words[-tail:], self.weight[-tail:] / self.weight[-tail:].sum()
+        self.masks: dict[int, int] = {}
+        self.bag: dict[int, float] = {}
+        for i, (w, x) in enumerate(zip(self.words.tolist(), self.weight.tolist(), strict=True)):
+            self.masks[w] = self.masks.get(w, 0) | 1 << i
+            self.bag[w] = self.bag.get(w, 0.0) + x
+
+    def measure(self, words: np.ndarray, start: int, end: int) -> tuple[float, float, int, int, int] | None:
+        """Of the stretch around words[start:end] that covers most words of the item: the weights of the longest common
+        subsequences with the item and with its last sentence, how many words that is, and the stretch; None below LCS."""
         n = len(self.words)
         low, high = max(0, start - n), min(len(words), end + n)
-        if lcs(words[low:high], self.masks, n) < LCS * n:
+        near = words[low:high]
+        values = near.tolist()
+        # No subsequence weighs more than all words that are there.
+        if sum(self.bag[w] for w in self.bag.keys() & set(values)) < LCS:
             return None
-        span, best = n + n // 3 + 1, None
-        for at in range(low, max(low + 1, high - span + max(1, n // 8)), max(1, n // 8)):
-            near = words[at : at + span]
-            common = lcs(near, self.masks, n)
-            if common < LCS * n or (best is not None and common <= best[0]):
-                continue
-            if common >= SURE * n or lcs(near, self.answer, self.tail) >= ANSWER * self.tail:
-                best = (common, at, min(at + span, len(words)))
-        return best
+        span, step, best = n + n // 3 + 1, max(1, n // 8), (0, 0, 0)
+        for at in range(0, max(1, len(values) - span + step), step):
+            common = lcs(values[at : at + span], self.masks, n)
+            if common > best[0]:
+                best = (common, at, min(at + span, len(values)))
+        common, a, b = best
+        total = weighted_lcs(self.words, self.weight, near[a:b])
+        if total < LCS:
+            return None
+        return total, weighted_lcs(self.last, self.last_weight, near[a:b]), common, low + a, low + b
 
 
-def _numbered(docs: DataFrame, key: str, vocabulary: dict[bytes, int]) -> DataFrame:
-    """key and terms binary: the texts as term numbers, -1 for words that no item has."""
+def accepted(total: float, answer: float) -> bool:
+    return total >= SURE or (total >= LCS and answer >= ANSWER)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512):
-            term, sizes = _numbers(vocabulary, [words_of(t) for t in utf8(batch.column(1))])
-            raw, ends = term.astype("<i4", copy=False).tobytes(), (np.cumsum(sizes) * 4).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary())], [key, "terms"])
 
-    return map_arrow(docs, run, T.StructType([docs.schema[key], T.StructField("terms", T.BinaryType())]))
+def pieces_of(texts: list[bytes], most: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """The items' words in even pieces of `most` at most, as cells, and the item of each."""
+    words, sizes = hashed(texts)
+    parts = -(-sizes // most)
+    cuts = [(k + 1) * n // p - k * n // p for n, p in zip(sizes.tolist(), parts.tolist(), strict=True) for k in range(p)]
+    return cells_of(words, np.array(cuts, np.int64), most)[0], np.repeat(np.arange(len(sizes)), parts)
 
 
-def _frequencies(terms: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """In how many passages each term is found, and how many passages there are."""
+def _numbered(docs: DataFrame, key: str) -> DataFrame:
+    """key and terms binary: the texts as hashes of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, passages = np.zeros(size, np.int64), 0
         for batch in slices(batches, 512):
-            term, sizes = _packed(batch.column(0))
-            cell, cells, _ = _cells(*_places(sizes), PASSAGE)
-            passages += cells
-            found += np.bincount(_counted(cell[term >= 0] * size + term[term >= 0])[0] % size, minlength=size)
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], passages))], ["term", "n"])
+            words, sizes = hashed(utf8(batch.column(1)))
+            raw, ends = words.astype("<u4", copy=False).tobytes(), (np.cumsum(sizes) * 4).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary())], [key, "terms"])
 
-    counts = map_arrow(terms, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(size + 1, np.int64)
-    for term, n in counts:
-        df[term] = n
-    return df[:-1], int(df[-1])
+    return map_arrow(docs, run, T.StructType([docs.schema[key], T.StructField("terms", T.BinaryType())]))
 
 
-def _add(table: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(x.as_py(), "<f4").astype(np.float64) for x in table.column("matrix")]
-    total = functools.reduce(np.add, parts)
-    return pa.table({"slice": table.column("slice").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())]), "matrix": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+def _add(kind: str):
+    def run(table: pa.Table) -> pa.Table:
+        total = functools.reduce(np.add, (np.frombuffer(x.as_py(), kind).astype(np.float64) for x in table.column("matrix")))
+        return pa.table({"slice": table.column("slice").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())]), "matrix": pa.array([total.astype(kind).tobytes()], pa.binary())})
 
+    return run
 
-def _omega(idf: np.ndarray, width: int) -> np.ndarray:
-    return (np.random.default_rng(SEED).standard_normal((len(idf), width)) * idf[:, None]).astype(np.float32)
 
+def _sum_over(terms: DataFrame, shape: tuple[int, ...], kind: str, begin, work) -> tuple[np.ndarray, int]:
+    """The sum over all tasks of an array that work(cells, array, begin()) adds to, and of the numbers that it returns.
 
-def _latent(terms: DataFrame, vocabulary: dict[bytes, int], pieces: list[list[bytes]], idf: np.ndarray, rank: int) -> np.ndarray:
-    """terms x rank: the latent space of all passages and pieces, times each term's weight."""
-    width = rank + OVERSAMPLE
+    Slices of the arrays are summed over two levels, so a group has no more than the root of the number of tasks.
+    """
     fan = max(1, int(terms.rdd.getNumPartitions() ** 0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = _omega(idf, width)
-        total, rows = np.zeros(draw.shape), 0
+        total, n, state = np.zeros(shape, kind), 0, begin()
         for batch in slices(batches, 512):
-            term, sizes = _packed(batch.column(0))
-            cell, cells, _ = _cells(*_places(sizes), PASSAGE)
-            product, n = gram_product(term, cell, cells, idf, draw)
-            total += product
-            rows += n
-        parts = [total[i : i + _ROWS].astype("<f4").tobytes() for i in range(0, len(total), _ROWS)]
+            n += work(cells_of(*_packed(batch.column(0)), PASSAGE)[0], total, state)
+        parts = [total[i : i + _ROWS].tobytes() for i in range(0, len(total), _ROWS)]
         context = TaskContext.get()
         part = [context.partitionId() % fan if context else 0] * len(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(part, pa.int32()), pa.array([rows] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["slice", "part", "n", "matrix"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(part, pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["slice", "part", "n", "matrix"])
 
     parts = map_arrow(terms, run, "slice int, part int, n long, matrix binary")
-    for keys in (["slice", "part"], ["slice"]):
-        if "part" not in keys:
-            parts = parts.select("slice", "n", "matrix")
-        summed = parts.groupBy(*keys).applyInArrow(_add, "slice int, n long, matrix binary")
-        parts = summed
-    slices_ = sorted(parts.collect())
-    omega = _omega(idf, width)
-    product = np.concatenate([np.frombuffer(r["matrix"], "<f4").reshape(-1, width) for r in slices_]).astype(np.float64) if slices_ else np.zeros(omega.shape)
-    rows = slices_[0]["n"] if slices_ else 0
-    term, sizes = _numbers(vocabulary, pieces)
-    own, n = gram_product(term, _places(sizes)[0], len(pieces), idf, omega)
+    parts = parts.groupBy("slice", "part").applyInArrow(_add(kind), "slice int, n long, matrix binary")
+    parts = parts.groupBy("slice").applyInArrow(_add(kind), "slice int, n long, matrix binary")
+    found = sorted(parts.collect())  # TERMS rows in all, whatever the input
+    if not found:
+        return np.zeros(shape), 0
+    return np.concatenate([np.frombuffer(r["matrix"], kind) for r in found]).reshape(shape).astype(np.float64), found[0]["n"]
+
+
+def _frequencies(terms: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many passages each term is found, and how many passages there are."""
+
+    def work(cells: np.ndarray, total: np.ndarray, _) -> int:
+        total += np.bincount(_distinct(cells)[1], minlength=TERMS)
+        return len(cells)
+
+    return _sum_over(terms, (TERMS,), "<i8", lambda: None, work)
+
+
+def _latent(terms: DataFrame, blocks: Iterator[list[bytes]], idf: np.ndarray, rank: int) -> np.ndarray:
+    """TERMS + 1 x rank: the latent space of all passages and pieces, times each term's weight, and a row of zeros."""
+    width = rank + OVERSAMPLE
+
+    def draw() -> np.ndarray:
+        return np.random.default_rng(SEED).standard_normal((TERMS, width))
+
+    def omega() -> np.ndarray:
+        return _with_zero(draw() * idf[:, None])
+
+    def work(cells: np.ndarray, total: np.ndarray, plane: np.ndarray) -> int:
+        return gram_product(cells, idf, plane, total)
+
+    product, rows = _sum_over(terms, (TERMS, width), "<f4", omega, work)
+    own, n, plane = np.zeros((TERMS, width), np.float32), 0, omega()
+    for texts in blocks:
+        n += gram_product(pieces_of(texts)[0], idf, plane, own)
     product += own * (max(rows, 1) / max(n, 1))
-    plain = np.random.default_rng(SEED).standard_normal(omega.shape)
-    return (nystrom(product, plain, rank) * idf[:, None]).astype(np.float32)
+    return _with_zero(nystrom(product * idf[:, None], draw(), rank) * idf[:, None])
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -274,91 +351,112 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(length > 0, length, 1)
 
 
-def _search(docs: DataFrame, key: str, item_type: T.DataType, items: list[_Item], rank: int) -> DataFrame:
-    schema = T.StructType([
-        docs.schema[key], T.StructField("item_id", item_type), T.StructField("cosine", T.DoubleType()), T.StructField("lcs", T.LongType()),
-        T.StructField("item_words", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
-    ])
-    vocabulary: dict[bytes, int] = {}
-    for item in items:
-        for w in item.words:
-            vocabulary.setdefault(w, len(vocabulary))
-    for item in items:
-        item.number(vocabulary)
-    numbered = stage(_numbered(docs, key, vocabulary), "leak-terms")
-    terms = numbered.select("terms")
-    df, passages = _frequencies(terms, len(vocabulary))
-    pieces = [(p, i) for i, item in enumerate(items) for p in item.pieces(PASSAGE)]
-    distinct = [[vocabulary[w] for w in p] for p in {tuple(p) for p, _ in pieces}]
-    own = np.bincount(np.fromiter(chain.from_iterable(set(p) for p in distinct), np.int64), minlength=len(vocabulary))
-    # A few pieces more, as in a small benchmark one piece is a large share.
-    common = (df > STOP * passages) & (own > STOP * len(distinct) + 3)
-    kept = [p for p in distinct if common[p].mean() >= LOST]
-    for p in kept:
-        common[p] = False
-    idf = np.where(common, 0, np.log1p(passages / (df + 1)))
-    owner = np.array([i for _, i in pieces])
-    matrix = _latent(terms, vocabulary, [p for p, _ in pieces], idf, rank)
-    term, sizes = _numbers(vocabulary, [p for p, _ in pieces])
-    targets = _unit(_sum_rows(matrix, term, _places(sizes)[0], len(pieces)))
-    half = PASSAGE // 2
+def passages_of(words: np.ndarray, sizes: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping passages of some texts, half a passage apart: terms, unit vectors, text, and first word there."""
+    cells, text = cells_of(words, sizes, _HALF)
+    sums = _gathered(matrix, cells)
+    joined = np.append(text[1:] == text[:-1], False)
+    first = np.append(True, ~joined[:-1])
+    # A passage is two cells that follow one another, or the only cell of a text.
+    at = np.flatnonzero(joined | first)
+    pair = joined[at]
+    terms = np.full((len(at), PASSAGE), TERMS, np.uint16)
+    terms[:, :_HALF] = cells[at]
+    terms[pair, _HALF:] = cells[at[pair] + 1]
+    rows = sums[at]
+    rows[pair] += sums[at[pair] + 1]
+    starts = np.flatnonzero(first)
+    number = np.arange(len(cells)) - np.repeat(starts, np.diff(np.append(starts, len(cells))))
+    return terms, _unit(rows), text[at], number[at] * _HALF
+
+
+def candidates(terms: np.ndarray, rows: np.ndarray, pieces: np.ndarray, weights: np.ndarray, targets: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """Passage, piece and cosine of the pairs that reach COSINE and SHARE, in chunks of CELLS cosines."""
+    step = max(1, CELLS // max(1, len(pieces)))
+    for at in range(0, len(rows), step):
+        alike = rows[at : at + step] @ targets.T
+        flat = np.flatnonzero(alike >= COSINE)
+        for low in range(0, len(flat), 2048):
+            row, piece = np.divmod(flat[low : low + 2048], len(pieces))
+            there = (terms[at + row][:, :, None] == pieces[piece][:, None, :]).any(1)
+            near = np.flatnonzero((there * weights[piece]).sum(1) >= SHARE)
+            yield from zip((at + row[near]).tolist(), piece[near].tolist(), alike.ravel()[flat[low + near]].tolist(), strict=True)
+
+
+def _search(numbered: DataFrame, key: str, item_type: T.DataType, items: list[tuple], idf: np.ndarray, matrix: np.ndarray) -> DataFrame:
+    schema = _schema(numbered, key, item_type)
+    texts = [t for _, t in items]
+    pieces, owner = pieces_of(texts)
+    targets = _unit(_gathered(matrix, pieces))
+    weights = np.append(idf, 0)[pieces]
+    weights = (weights / np.maximum(weights.sum(1, keepdims=True), 1e-12)).astype(np.float32)
+    # What fills a piece up is another term than what fills a passage up.
+    pieces = np.where(pieces == TERMS, TERMS + 1, pieces).astype(np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted = idf > 0
-        arrow = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.int32() if isinstance(f.dataType, T.IntegerType) else None for f in schema]
+        ready: dict[int, Item] = {}
         for batch in slices(batches, 512):
-            term, sizes = _packed(batch.column(1))
-            text, place = _places(sizes)
-            begin = np.cumsum(sizes) - sizes
-            cell, cells, owner_of = _cells(text, place, half)
-            if not cells:
+            words, sizes = _packed(batch.column(1))
+            if not len(words):
                 continue
-            pick = (term >= 0) & weighted[term]
-            sums = _sum_rows(matrix, term[pick], cell[pick], cells)
-            first = np.flatnonzero(np.append(True, np.diff(owner_of) != 0))
-            number = np.arange(cells) - np.repeat(first, np.diff(np.append(first, cells)))
-            joined = np.append(owner_of[1:] == owner_of[:-1], False)
-            # A passage is two cells that follow one another, or the only cell of a text.
-            at = np.flatnonzero(joined | ((number == 0) & ~joined))
-            rows = sums[at]
-            rows[joined[at]] += sums[at[joined[at]] + 1]
-            alike = _unit(rows) @ targets.T
+            begin = np.cumsum(sizes) - sizes
+            terms, rows, text, start = passages_of(words, sizes, matrix)
             best: dict[tuple[int, int], tuple] = {}
-            words: dict[int, list[int]] = {}
-            for flat in np.flatnonzero(alike >= COSINE).tolist():
-                r, p = divmod(flat, len(pieces))
-                doc, i = int(owner_of[at[r]]), int(owner[p])
-                if doc not in words:
-                    words[doc] = term[begin[doc] : begin[doc] + sizes[doc]].tolist()
-                start = int(number[at[r]]) * half
-                found = items[i].check(words[doc], start, start + PASSAGE)
-                if found and ((doc, i) not in best or found[0] > best[doc, i][1]):
-                    best[doc, i] = (float(alike[r, p]), *found)
+            for r, p, cosine in candidates(terms, rows, pieces, weights, targets):
+                doc, i = int(text[r]), int(owner[p])
+                if i not in ready:
+                    ready[i] = Item(texts[i], idf)
+                found = ready[i].measure(words[begin[doc] : begin[doc] + sizes[doc]], int(start[r]), int(start[r]) + PASSAGE)
+                if found and accepted(*found[:2]) and ((doc, i) not in best or found[0] > best[doc, i][1]):
+                    best[doc, i] = (cosine, *found)
             if best:
                 ids = batch.column(0)
-                out = [(ids[d].as_py(), items[i].key, b[0], b[1], len(items[i].words), b[2], b[3]) for (d, i), b in best.items()]
-                columns = [pa.array(c, t) if t else pa.array(c) for c, t in zip(zip(*out, strict=True), arrow, strict=True)]
+                at = pa.array([d for d, _ in best], pa.int64())
+                out = list(best.values())
+                numbers = [[len(ready[i].words) for _, i in best], *([b[k] for b in out] for k in (4, 5))]
+                floats = [[b[k] for b in out] for k in (0, 1, 2)]
+                columns = [ids.take(at), pa.array([items[i][0] for _, i in best], _arrow(item_type)), *(pa.array(f, pa.float64()) for f in floats), pa.array([b[3] for b in out], pa.int64()), *(pa.array(n, pa.int64()) for n in numbers)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return map_arrow(numbered, run, schema)
 
 
+def _arrow(kind: T.DataType) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+
+
+def _schema(documents: DataFrame, key: str, item_type: T.DataType) -> T.StructType:
+    floats = [T.StructField(n, T.DoubleType()) for n in ("cosine", "share", "answer")]
+    longs = [T.StructField(n, T.LongType()) for n in ("lcs", "item_words", "start", "end")]
+    return T.StructType([documents.schema[key], T.StructField("item_id", item_type), *floats, *longs])
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, key: str, item: str = "item_id", text: str = "text", rank: int = RANK, block: int = BLOCK) -> DataFrame:
-    """key, item_id, cosine, lcs, item_words, start and end (words of the document): a row for each item found in a row."""
-    docs = documents.select(key, text)
-    spark = documents.sparkSession
-    filled = benchmark.select(item, text).where(F.length(F.coalesce(text, F.lit(""))) > 0)
-    n, size = filled.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    """key, item_id, cosine, share and answer (weights covered of the item and of its last sentence), lcs (words), item_words,
+    start and end (words of the document): a row for each item found in a row.
+
+    Item ids are longs, ints or strings; rows' keys are of any type.
+    """
+    spark, item_type = documents.sparkSession, benchmark.schema[item].dataType
+    filled = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where(F.length(F.coalesce(text, F.lit(""))) > 0)
+    n, size = filled.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // block), -(-size // BLOCK_BYTES))
-    parts = []
-    for b in range(blocks):
-        own = filled if blocks == 1 else filled.where(F.pmod(F.xxhash64(item, text), F.lit(blocks)) == b)
-        items = [_Item(k, t.encode()) for k, t in own.orderBy(item, text).collect()]
-        items = [i for i in items if i.words]
-        if items:
-            parts.append(stage(_search(docs, key, benchmark.schema[item].dataType, items, min(rank, len({w for i in items for w in i.words}))), "leaks"))
+
+    def items(b: int) -> list[tuple]:
+        own = filled if blocks == 1 else filled.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+        rows = [(k, t.encode()) for k, t in own.orderBy("item", "text").collect()]
+        return [(k, t) for k, t in rows if len(word_hashes(t)[0])]
+
+    numbered = stage(_numbered(documents.select(key, text), key), "leak-terms")
+    terms = numbered.select("terms")
+    df, passages = _frequencies(terms)
+    idf = np.log1p(passages / (df + 1))
+    parts: list[DataFrame] = []
+    if passages:
+        matrix = _latent(terms, ([t for _, t in items(b)] for b in range(blocks)), idf, rank)
+        for b in range(blocks):
+            if own := items(b):
+                parts.append(stage(_search(numbered, key, item_type, own, idf, matrix), "leaks"))
     if not parts:
-        kind = lambda c, n: T.StructField(n, c)
-        schema = T.StructType([documents.schema[key], kind(benchmark.schema[item].dataType, "item_id"), kind(T.DoubleType(), "cosine"), *(kind(T.LongType(), n) for n in ("lcs", "item_words", "start", "end"))])
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], _schema(documents, key, item_type))
     return functools.reduce(DataFrame.unionByName, parts)

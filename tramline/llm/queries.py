@@ -102,7 +102,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of benchmark found in documents."""
     found = decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), "doc_id")
-    return found.select("doc_id", "item_id", "lcs", "item_words", F.round("cosine", 3).alias("cosine"), "start", "end")
+    return found.select("doc_id", "item_id", "lcs", "item_words", *[F.round(c, 3).alias(c) for c in ("cosine", "share", "answer")], "start", "end")
 
 
 QUERIES = {
