@@ -39,7 +39,13 @@ def test_geojson(spark, tmp_path):
     assert [tuple(p) for p in rows[0].parts[0]] == [(0, 0), (1, 1)]
     assert geometry.read_geojson(spark, path, ["n"], bbox=(40, 40, 60, 60)).first().n == "4"
     assert geometry.read_geojson(spark, path, ["n"], geometry=False, max_features=2).count() == 2
-    assert geometry.read_geojson(spark, path).columns == ["source_row", "n", "name", "geometry_type", "parts"]
+    assert geometry.read_geojson(spark, path).columns == ["source_file", "source_row", "n", "name", "geometry_type", "parts"]
+    with open(tmp_path / "lines.geojson", "w") as f:
+        f.write('{"type": "FeatureCollection", "features": [\n' + ",\n".join(map(json.dumps, features)) + "\n]}\n")
+    one, two = (geometry.read_geojson(spark, p, ["name", "n"], lines=n).orderBy("source_row").collect() for p, n in ((path, False), (str(tmp_path / "lines.geojson"), True)))
+    assert one == two
+    geometry.write_geojson(geometry.read_geojson(spark, path, ["name", "n"]).where("geometry_type <> 'MultiPolygon'").coalesce(1), str(tmp_path / "out"), "geometry_type", "parts", ["name", "n"])
+    assert geometry.read_geojson(spark, str(tmp_path / "out"), ["name", "n"], lines=True).orderBy("source_row").collect() == one[:2]
     info = geometry.geojson_info(spark, path).first()
     assert (info.features, info.crs, sorted(info.fields)) == (3, "EPSG:3006", ["n", "name"])
 

@@ -89,6 +89,23 @@ def share_byte(n: Column, total: Column) -> Column:
     return F.least(F.greatest(F.coalesce(F.bround(F.try_divide(n * 255.0, F.nullif(total, F.lit(0))), 0), F.lit(0.0)), F.lit(0.0)), F.lit(255.0)).cast("int")
 
 
+def packed_key(parts: list[tuple[Column, int]]) -> Column:
+    """One long for several non-negative numbers, each below its size: the first counts most."""
+    key = F.lit(0).cast("long")
+    for part, size in parts:
+        key = key * F.lit(size) + part.cast("long")
+    return key
+
+
+def unpacked_key(key: Column, sizes: list[int]) -> list[Column]:
+    """The numbers of packed_key()."""
+    parts = []
+    for size in reversed(sizes):
+        parts.append(F.pmod(key, F.lit(size)))
+        key = F.call_function("div", key, F.lit(size))
+    return parts[::-1]
+
+
 def saturating(value: Column, low: int, high: int) -> Column:
     """A number cut to a range, then an integer; casting alone would raise."""
     return F.least(F.greatest(value, F.lit(low)), F.lit(high)).cast("int")

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.functions.bins import BINS, time_bin
-from tramline.operators.prefix import running_sum
+from tramline.functions.bins import BINS, time_at, time_bin
+from tramline.operators.graph import bounded_paths, path_to, shortest_paths
+from tramline.operators.polyline import subsegment_samples
+from tramline.operators.prefix import kept, running_sum
+from tramline.operators.snap import nearest
+from tramline.operators.stats import quantiles
 
 
 def trips_from_events(events: DataFrame, person: str, time_us: Column, mode: str, order: list[str]) -> DataFrame:
@@ -79,6 +83,34 @@ def flow_time(triples: DataFrame, edge: str = "edge_id", trip: str = "trip_id")
     return once.groupBy(edge, "mode", "bin").agg(F.count(F.lit(1)).alias("trips"))
 
 
+def assigned(pieces: DataFrame, points: DataFrame, nodes: DataFrame, edges: DataFrame, short: float, step: float, tolerance: float, junction: float, factor: float = 1.6, slack: float = 60.0, tile: float = 2000.0) -> DataFrame:
+    """trip_id, edge_id, bin: each trip's edges, once for each bin.
+
+    Pieces up to `short` are sampled and snapped to points of the network; longer ones take the path between the junctions
+    near their ends, in the bin of their middle, and are sampled where there is none. pieces: trip_id, piece, t0, t1 and
+    the columns of segments(). points: edge_id, x, y. nodes and edges: as junctions() gives them.
+    """
+    by = ["trip_id", "piece", "k"]
+
+    def snapped(some: DataFrame) -> DataFrame:
+        samples = subsegment_samples(some, step)
+        probes = samples.select(*by, time_bin(time_at(F.col("at"), F.col("total"), F.col("t0"), F.col("t1"))).alias("bin"), "x", "y")
+        return nearest(probes, points, tolerance, by, "edge_id").select("trip_id", "piece", "edge_id", "bin")
+
+    far = kept(pieces.where(F.col("length") > short))
+    middle = time_bin(time_at(F.col("along") + F.col("length") / 2, F.col("total"), F.col("t0"), F.col("t1")))
+    ends = far.select("trip_id", "piece", "length", middle.alias("bin"), F.inline(F.array(*[F.struct(F.lit(e).alias("end"), F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y")) for e in "ab"])))
+    near = nearest(ends, nodes, junction, ["trip_id", "piece", "end"], "id", strict=False).where(F.col("id").isNotNull())
+    both = near.groupBy("trip_id", "piece", "bin", "length").agg(*[F.max(F.when(F.col("end") == e, F.col("id"))).alias(n) for e, n in (("a", "src"), ("b", "dst"))])
+    both = kept(both.where("src <> dst"))
+    paths = bounded_paths(both.select("src", "dst", F.col("length").alias("chord")), nodes, edges, factor, slack, tile)
+    # The bound of a pair of junctions is that of its longest chord; a shorter one keeps to its own.
+    lengths = paths.join(edges.select("edge_id", F.col("length").alias("_l")), "edge_id").groupBy("src", "dst").agg(F.sum("_l").alias("_path"))
+    fits = both.join(lengths, ["src", "dst"]).where(F.col("_path") <= F.col("length") * factor + slack)
+    chords = fits.join(paths, ["src", "dst"]).select("trip_id", "piece", "edge_id", "bin")
+    return assign(snapped(pieces.where(F.col("length") <= short)), kept(chords), snapped(far))
+
+
 def assign(short: DataFrame, long: DataFrame, fallback: DataFrame) -> DataFrame:
     """trip_id, edge_id, bin: short pieces by snapping, long chords by their path, and by snapping where no path was found.
 
@@ -120,11 +152,33 @@ def fitted_profile(shape: DataFrame, periods: DataFrame, group: str) -> DataFram
 
 def with_fallback(links: DataFrame, group: str, value: str, least: int = 10) -> DataFrame:
     """group, value, n, used: a group's median if it has enough links, or else the median of all."""
-    overall = links.agg(F.median(value).alias("overall"))  # one row
-    groups = links.groupBy(group).agg(F.median(value).alias(value), F.count(F.lit(1)).alias("n"))
+    overall = quantiles(links, value, [], (0.5,)).select(F.col("p50").alias("overall"))  # one row
+    medians = quantiles(links, value, [group], (0.5,)).select(F.col(group).alias("_g"), F.col("p50").alias(value))
+    sizes = links.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    groups = sizes.join(medians, sizes[group].eqNullSafe(F.col("_g")), "left")
     return groups.join(F.broadcast(overall)).select(group, value, "n", F.when(F.col("n") >= least, F.col(value)).otherwise(F.col("overall")).alias("used"))
 
 
+def network_routes(trips: DataFrame, nodes: DataFrame, edges: DataFrame, reach: float, key: str = "trip_id") -> DataFrame:
+    """key, points: for trips (key, match, points) that are "straight", the way over a network between the nodes nearest to
+    their ends, within reach, with the trip's own ends around it. Trips whose ends share a node, or are not joined, have none.
+    """
+    asked = trips.where(F.col("match") == "straight").select(key, F.element_at("points", 1).alias("a"), F.element_at("points", -1).alias("b"))
+    ends = asked.select(key, F.inline(F.array(*[F.struct(F.lit(e).alias("end"), F.col(f"{e}.x").alias("x"), F.col(f"{e}.y").alias("y")) for e in "ab"])))
+    near = nearest(ends, nodes, reach, [key, "end"], "id").where(F.col("id").isNotNull())
+    pairs = near.groupBy(key).agg(*[F.max(F.when(F.col("end") == e, F.col("id"))).alias(n) for e, n in (("a", "source"), ("b", "target"))])
+    pairs = kept(pairs.where("source <> target"))
+    paths = kept(shortest_paths(edges, pairs.select(F.col("source").alias("node")).distinct()))
+    found = path_to(paths, pairs.select("source", "target").distinct())
+    # Only those that lead back to their source are ways; steps count from the target.
+    placed = found.join(nodes.select(F.col("id").alias("node"), "x", "y"), "node")
+    ways = placed.groupBy("source", "target").agg(F.reverse(F.array_sort(F.collect_list(F.struct("step", "x", "y")))).alias("way"), F.bool_or(F.col("node") == F.col("source")).alias("whole")).where("whole")
+    joined = asked.join(pairs, key).join(ways, ["source", "target"])
+    way = F.transform("way", lambda w: F.struct(w["x"].alias("x"), w["y"].alias("y")))
+    own = [F.array(F.struct(F.col(f"{e}.x").alias("x"), F.col(f"{e}.y").alias("y"))) for e in "ab"]
+    return joined.select(key, F.concat(own[0], way, own[1]).alias("points"))
+
+
 def rerouted(trips: DataFrame, routes: DataFrame, key: str = "trip_id") -> DataFrame:
     """trips with the points and match of a network route where the first matching had left them "straight".
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tramline.operators.prefix import kept
 from tramline.operators.snap import pairs_within
+from tramline.store import Parts
 
 
 def junctions(segments: DataFrame, key: str = "edge_id", digits: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -64,25 +65,27 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float | None = N
     """source, node, distance, pred: distances from each source; of equal predecessors the smallest.
 
     Each round relaxes only the rows that the last round improved, for all sources at once, and ends when a round
-    improves nothing.
+    improves nothing. What a round improves is written as a part of its own; nothing is written twice, and of the parts
+    of a node the least distance counts.
     """
     arcs = kept(both_ways(least_weights(edges)))
     nothing = F.lit(None).cast(arcs.schema["a"].dataType)
-    known = kept(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast(arcs.schema["weight"].dataType).alias("distance")).distinct())
-    front = known
+    parts = Parts(edges.sparkSession, "distances")
+    front = parts.add(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast(arcs.schema["weight"].dataType).alias("distance")).distinct())
     for _ in range(rounds):
         reached = front.join(arcs, front["node"] == arcs["a"]).select("source", F.col("b").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"))
         if limit is not None:
             reached = reached.where(F.col("distance") <= limit)
-        best = reached.groupBy("source", "node").agg(F.min("distance").alias("d"))
-        merged = known.join(best, ["source", "node"], "full")
-        better = F.col("distance").isNull() | (F.col("d") < F.col("distance"))
-        merged = kept(merged.select("source", "node", F.least("distance", "d").alias("distance"), F.coalesce(better & F.col("d").isNotNull(), F.lit(False)).alias("new")))
-        front, known = merged.where("new").drop("new"), merged.drop("new")
+        known = parts.all().select("source", "node", F.lit(True).alias("old"), "distance")
+        # One sum over old and new rows: a node is improved if its least distance is none of the old ones.
+        both = known.unionByName(reached.withColumn("old", F.lit(False)).select("source", "node", "old", "distance"))
+        best = both.groupBy("source", "node").agg(F.min("distance").alias("distance"), F.min(F.when(F.col("old"), F.col("distance"))).alias("before"))
+        front = parts.add(best.where(F.col("before").isNull() | (F.col("distance") < F.col("before"))).select("source", "node", "distance"))
         if front.isEmpty():
             break
     else:
         raise RuntimeError(f"not settled after {rounds} rounds")
+    known = parts.all().groupBy("source", "node").agg(F.min("distance").alias("distance"))
     # Predecessors follow from final distances, so they don't depend on the order of relaxation.
     before = known.select("source", F.col("node").alias("a"), F.col("distance").alias("da"))
     via = before.join(arcs, "a").select("source", F.col("b").alias("node"), (F.col("da") + F.col("weight")).alias("distance"), "a")
@@ -98,14 +101,13 @@ def hops(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFram
 
 def path_to(paths: DataFrame, targets: DataFrame, most: int = 20_000) -> DataFrame:
     """source, target, step, node: the nodes from each source to each target (source, target), by step back from the target."""
-    at = kept(targets.select("source", "target", F.lit(0).alias("step"), F.col("target").alias("node")))
-    whole = at
+    parts = Parts(paths.sparkSession, "path")
+    at = parts.add(targets.select("source", "target", F.lit(0).alias("step"), F.col("target").alias("node")))
     for _ in range(most):
         back = at.join(paths.select("source", "node", "pred"), ["source", "node"]).where(F.col("pred").isNotNull())
-        at = kept(back.select("source", "target", (F.col("step") + 1).alias("step"), F.col("pred").alias("node")))
+        at = parts.add(back.select("source", "target", (F.col("step") + 1).alias("step"), F.col("pred").alias("node")))
         if at.isEmpty():
-            return whole
-        whole = whole.unionByName(at)
+            return parts.all()
     raise RuntimeError(f"a path is longer than {most}")
 
 
@@ -113,34 +115,36 @@ def betweenness(edges: DataFrame, sources: DataFrame, normalise: bool = True) ->
     """a < b, betweenness: how many shortest-path tree paths from the sources use each edge.
 
     In the tree of a source every edge is credited once for each node at or below its far end. Subtree sizes are
-    gathered level by level from the leaves, all sources at once. The walk ends at the source.
+    gathered level by level from the leaves, all sources at once; a level reads and writes its own rows alone. The walk
+    ends at the source.
     """
     edges = least_weights(edges)
     tree = kept(shortest_paths(edges, sources))
-    # A node passes its own size on once all its children have: nodes are taken in order of their depth.
-    depth = kept(_depths(tree))
-    deepest = depth.agg(F.max("depth")).first()[0] or 0
-    size = depth.select("source", "node", "pred", "depth", F.lit(1).cast("long").alias("size"))
-    for level in range(deepest, 0, -1):
-        up = size.where(F.col("depth") == level).groupBy("source", F.col("pred").alias("node")).agg(F.sum("size").alias("more"))
-        size = kept(size.join(up, ["source", "node"], "left").select("source", "node", "pred", "depth", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
-    credit = size.where(F.col("pred").isNotNull()).groupBy(F.least("node", "pred").alias("a"), F.greatest("node", "pred").alias("b")).agg(F.sum("size").alias("credit"))
+    levels = _levels(tree)
+    sizes = Parts(edges.sparkSession, "sizes")
+    up = None
+    for level in reversed(levels):
+        own = level.select("source", "node", "pred", F.lit(1).cast("long").alias("size"))
+        if up is not None:
+            own = own.join(up, ["source", "node"], "left").select("source", "node", "pred", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        own = sizes.add(own)
+        up = own.where(F.col("pred").isNotNull()).groupBy("source", F.col("pred").alias("node")).agg(F.sum("size").alias("more"))
+    credit = sizes.all().where(F.col("pred").isNotNull()).groupBy(F.least("node", "pred").alias("a"), F.greatest("node", "pred").alias("b")).agg(F.sum("size").alias("credit"))
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().count()
     scale = sources.distinct().count() * max(nodes - 1, 1) if normalise else 1
     return edges.join(credit, ["a", "b"], "left").select("a", "b", (F.coalesce("credit", F.lit(0)) / F.lit(scale)).alias("betweenness"))
 
 
-def _depths(tree: DataFrame) -> DataFrame:
-    at = kept(tree.where(F.col("pred").isNull()).select("source", "node", "pred", F.lit(0).alias("depth")))
-    whole = at
-    level = 0
+def _levels(tree: DataFrame) -> list[DataFrame]:
+    """The rows of shortest-path trees by their number of edges from the source, a frame for each number."""
+    parts = Parts(tree.sparkSession, "levels")
+    found = [parts.add(tree.where(F.col("pred").isNull()).select("source", "node", "pred"))]
     while True:
-        level += 1
-        below = tree.join(at.select("source", F.col("node").alias("pred")), ["source", "pred"]).select("source", "node", "pred", F.lit(level).alias("depth"))
-        at = kept(below)
+        above = found[-1].select("source", F.col("node").alias("pred"))
+        at = parts.add(tree.join(above, ["source", "pred"]).select("source", "node", "pred"))
         if at.isEmpty():
-            return whole
-        whole = whole.unionByName(at)
+            return found
+        found.append(at)
 
 
 def components(edges: DataFrame) -> DataFrame:

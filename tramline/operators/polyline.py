@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,20 +50,55 @@ def vertices(lines: DataFrame, key: str = "id", points: str = "points") -> DataF
     return exploded.select(*others, "n", "pos", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
+def _flat(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x and y of all vertices of a batch of lines, and where each line begins and the last one ends."""
+    sizes = pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False)
+    flat = lines.flatten()
+    return flat.field("x").to_numpy(zero_copy_only=False), flat.field("y").to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _step_lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    dx, dy = np.diff(x), np.diff(y)
+    return np.sqrt(dx * dx + dy * dy)
+
+
+_SEGMENT = "array<struct<ax:double,ay:double,bx:double,by:double,length:double,along:double,total:double>>"
+
+
+def _measured(points: Column) -> Column:
+    """The segments of lines, with distances added up once for each line; on Arrow batches, linear in the vertices."""
+
+    @F.arrow_udf(_SEGMENT)
+    def run(lines: pa.Array) -> pa.Array:
+        x, y, ends = _flat(lines)
+        first, step, along, total, counts = [], [], [], [], [0]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            n = max(b - a - 1, 0)
+            counts.append(n)
+            if n:
+                length = _step_lengths(x[a:b], y[a:b])
+                upto = np.cumsum(length)
+                first.append(np.arange(a, b - 1))
+                step.append(length)
+                along.append(np.concatenate(([0.0], upto[:-1])))
+                total.append(np.full(n, upto[-1]))
+        at = np.concatenate(first) if first else np.empty(0, np.int64)
+        join = lambda parts: np.concatenate(parts) if parts else np.empty(0)
+        columns = [x[at], y[at], x[at + 1], y[at + 1], join(step), join(along), join(total)]
+        rows = pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], ["ax", "ay", "bx", "by", "length", "along", "total"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), rows)
+
+    return run(points)
+
+
 def segments(lines: DataFrame, key: str = "id", points: str = "points") -> DataFrame:
     """The lines' columns without the points, and pos, ax, ay, bx, by, length, along (distance before the segment) and total.
 
-    Everything comes from the array itself, so nothing is shuffled.
+    Everything comes from the array itself, so nothing is shuffled, and no row carries the whole line.
     """
     others = [c for c in lines.columns if c != points]
-    p = F.col(points)
-    pairs = F.zip_with(_heads(p), _tails(p), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
-    measured = F.transform(pairs, lambda s: F.struct(s["ax"].alias("ax"), s["ay"].alias("ay"), s["bx"].alias("bx"), s["by"].alias("by"), hypot(s["bx"] - s["ax"], s["by"] - s["ay"]).alias("length")))
-    with_length = lines.select(*others, measured.alias("s"))
-    total = F.aggregate("s", F.lit(0.0), lambda t, s: t + s["length"])
-    rows = with_length.select(*others, total.alias("total"), "s", F.posexplode("s").alias("pos", "seg"))
-    along = F.aggregate(F.slice("s", F.lit(1), F.col("pos")), F.lit(0.0), lambda t, s: t + s["length"])
-    return rows.select(*others, "pos", "seg.*", along.alias("along"), "total")
+    rows = lines.select(*others, F.posexplode(_measured(F.col(points))).alias("pos", "seg"))
+    return rows.select(*others, "pos", "seg.*")
 
 
 def cumulative(verts: DataFrame, key: str = "id") -> DataFrame:
@@ -94,19 +131,40 @@ def _placed(rows: DataFrame, fraction: Column) -> DataFrame:
 
 
 def _interpolated(lines: DataFrame, key: str, points: str, wanted: Column) -> DataFrame:
-    """x and y at the distances that `wanted` gives as an array from the column total."""
-    p = F.col(points)
+    """x and y at the distances that `wanted` gives as an array from the column total.
+
+    The last segment with a length that begins at or before a distance holds the point. Each line's distances are added
+    up once and searched, on Arrow batches; only the samples are exploded.
+    """
     others = [c for c in lines.columns if c != points]
-    steps = F.zip_with(_heads(p), _tails(p), lambda a, b: F.struct(a.alias("a"), b.alias("b"), hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("l")))
-    begin = F.struct(F.lit(0.0).alias("at"), F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>,l:double,s:double>>").alias("out"))
-    run = F.aggregate(steps, begin, lambda st, s: F.struct((st["at"] + s["l"]).alias("at"), F.concat(st["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"), s["l"].alias("l"), st["at"].alias("s")))).alias("out")))
-    measured = lines.select(*others, p.alias(points), run.alias("run")).withColumn("total", F.col("run.at"))
-    rows = measured.select(*others, points, "total", F.col("run.out").alias("out"), F.posexplode(wanted).alias("j", "at"))
-    # The last segment that begins at or before the distance holds the point.
-    seg = F.element_at(F.filter("out", lambda s: (s["s"] <= F.col("at")) & (s["l"] > 0)), -1)
-    held = rows.where(F.size("out") > 0).withColumn("seg", F.when(F.exists("out", lambda s: (s["s"] <= F.col("at")) & (s["l"] > 0)), seg).otherwise(F.element_at("out", 1)))
-    f = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("at") - F.col("seg.s"), F.nullif(F.col("seg.l"), F.lit(0.0)))), F.lit(0.0))
-    return held.select(*others, "j", "at", "total", (F.col("seg.a.x") + f * (F.col("seg.b.x") - F.col("seg.a.x"))).alias("x"), (F.col("seg.a.y") + f * (F.col("seg.b.y") - F.col("seg.a.y"))).alias("y"))
+
+    @F.arrow_udf("array<struct<at:double,x:double,y:double>>")
+    def run(rows: pa.Array, distances: pa.Array) -> pa.Array:
+        x, y, ends = _flat(rows)
+        at = distances.flatten().to_numpy(zero_copy_only=False)
+        cuts = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(distances), 0).to_numpy(zero_copy_only=False))))
+        out, counts = [], [0]
+        for a, b, p, q in zip(ends[:-1].tolist(), ends[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            n = q - p if b - a > 1 else 0
+            counts.append(n)
+            if not n:
+                continue
+            length, want = _step_lengths(x[a:b], y[a:b]), at[p:q]
+            real = np.flatnonzero(length > 0)
+            if not len(real):
+                out.append(np.stack([want, np.full(n, x[a]), np.full(n, y[a])]))
+                continue
+            starts = np.concatenate(([0.0], np.cumsum(length)[:-1]))[real]
+            k = np.maximum(np.searchsorted(starts, want, side="right") - 1, 0)
+            f, seg = np.minimum(1.0, (want - starts[k]) / length[real[k]]), a + real[k]
+            out.append(np.stack([want, x[seg] + f * (x[seg + 1] - x[seg]), y[seg] + f * (y[seg + 1] - y[seg])]))
+        flat = np.concatenate(out, axis=1) if out else np.empty((3, 0))
+        made = pa.StructArray.from_arrays([pa.array(c) for c in flat], ["at", "x", "y"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), made)
+
+    measured = lines.select(*others, points, array_length(F.col(points)).alias("total"))
+    rows = measured.select(*others, "total", F.posexplode(run(F.col(points), wanted)).alias("j", "s"))
+    return rows.select(*others, "j", "s.at", "total", "s.x", "s.y")
 
 
 def line_samples(lines: DataFrame, step: float, least: int = 3, key: str = "id", points: str = "points") -> DataFrame:
@@ -243,6 +301,12 @@ def splice(first: Column, middle: Column, last: Column) -> Column:
     return without_repeats(F.concat(F.array(first), middle, F.array(last)))
 
 
+def flagged(verts: DataFrame, key: str = "id") -> DataFrame:
+    """Vertices with first, last (whether a line begins or ends there) and start (how far from its line's first one they are)."""
+    order = Window.partitionBy(key).orderBy("pos")
+    return verts.withColumns({"start": F.row_number().over(order) - 1, "last": F.lead("pos").over(order).isNull()}).withColumn("first", F.col("start") == 0)
+
+
 def without_repeats(points: Column) -> Column:
     """The line without vertices equal to the one before."""
     return _let(points, lambda line: F.filter(line, lambda p, i: (i == 0) | (p != F.element_at(line, F.greatest(i, F.lit(1))))))

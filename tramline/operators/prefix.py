@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.store import plan_bytes, stage
+
 #: Estimated bytes up to which a running sum may take place in one task.
 SMALL = 64 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tramline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def kept(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: the plan of a loop must not grow with its rounds."""
-    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a frame's size; without column statistics it is never less than what a filter or sum leaves."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return stage(df, "kept")
 
 
 def running_sum(df: DataFrame, order: list[Column], weight: Column, out: str, small: int = SMALL) -> DataFrame:

@@ -64,15 +64,41 @@ def painted(roads: DataFrame, count: str, thin: int = 5, slow: Column | None = N
     return roads.withColumns({"thin": few, "paint": paint})
 
 
-def positional_join(a: DataFrame, b: DataFrame, row: str = "source_row") -> DataFrame:
-    """Rows of two aligned sources side by side, by the row number that both were given when they were read.
+def positional_join(a: DataFrame, b: DataFrame, row: str = "source_row", file: str = "source_file") -> DataFrame:
+    """Rows of two aligned sources side by side, by the row number, and the file's if there is one, that both were given when read.
 
-    Sources of different length are not aligned: that raises, before anything is joined.
+    Sources whose files have different lengths are not aligned: that raises, before anything is joined.
     """
-    n, m = a.count(), b.count()
+    keys = [c for c in (file, row) if c in a.columns and c in b.columns]
+    by = [c for c in keys if c != row]
+    n, m = (sorted(tuple(r) for r in df.groupBy(*by).agg(F.count(F.lit(1))).collect()) for df in (a, b))  # a row for each file
     if n != m:
-        raise ValueError(f"sources are not aligned: {n} and {m} rows")
-    return a.join(b, row)
+        raise ValueError(f"sources are not aligned: {n[:3]} and {m[:3]} rows")
+    return a.join(b, keys)
+
+
+def looked_up(rows: DataFrame, ordinal: str, vocabulary: DataFrame, out: str) -> DataFrame:
+    """rows with the name that a column of ordinals stands for, null where there is none; vocabulary: ordinal, name."""
+    names = vocabulary.select(F.col("ordinal").alias("_o"), F.col("name").alias(out))
+    return rows.join(names, F.col(ordinal) == F.col("_o"), "left").drop("_o")
+
+
+def with_sources(roads: DataFrame, records: DataFrame, key: str, counts: list[str], order: list[str], box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """roads with what their source records say: n_directions, rows ("1 + 2"), source_c for each count, whether all match, and
+    x, y of the first record, within the box if one is given.
+
+    records: key, order, x, y and the counts.
+    """
+    first = F.min_by(F.struct("x", "y"), F.struct(*order))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(order[0])), lambda r: r.cast("string")), " + ")
+    sums = records.groupBy(key).agg(F.count(F.lit(1)).alias("n_directions"), rows.alias("rows"), first.alias("_at"), *[F.sum(c).alias(f"source_{c}") for c in counts])
+    same = F.lit(True)
+    for c in counts:
+        same = same & F.coalesce(F.col(c) == F.col(f"source_{c}"), F.lit(False))
+    joined = roads.join(sums, key, "left").withColumns({"matches": same, "x": F.col("_at.x"), "y": F.col("_at.y")}).drop("_at")
+    if box is None:
+        return joined
+    return joined.where(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3]))
 
 
 def with_zero(roads: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:

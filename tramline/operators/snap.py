@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.geo import hypot
 from tramline.operators.prefix import kept
+from tramline.store import Parts
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -61,19 +62,24 @@ def nearest_of_few(probes: DataFrame, network: DataFrame, keys: list[str], targe
 FEW = 10_000
 
 
-def nearest_in_rings(probes: DataFrame, network: DataFrame, start: float, keys: list[str], target: str, rounds: int = 12) -> DataFrame:
-    """The nearest target however far: the radius doubles for the probes that have found none."""
-    found, left, radius = None, probes, start
-    for _ in range(rounds):
-        tried = nearest(left, network, radius, keys, target, strict=False)
-        part = tried.where(F.col(target).isNotNull())
-        found = part if found is None else found.unionByName(part)
-        left = kept(tried.where(F.col(target).isNull()).select(*probes.columns))
-        if left.isEmpty():
-            return found
-        radius *= 2
-    nothing = left.withColumns({"distance": F.lit(None).cast("double"), target: F.lit(None).cast(network.schema[target].dataType)})
-    return found.unionByName(nothing.select(*found.columns))
+def nearest_in_rings(probes: DataFrame, network: DataFrame, start: float, keys: list[str], target: str) -> DataFrame:
+    """The nearest target however far: the radius doubles for the probes that have found none, until it covers everything.
+
+    Null only where the network is empty. A round costs the pairs within its radius, so `start` should be of the order
+    of the distances that most probes have.
+    """
+    extent = probes.select("x", "y").unionByName(network.select("x", "y")).agg(*[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()
+    reach = 0.0 if extent[0] is None else ((extent[1] - extent[0]) ** 2 + (extent[3] - extent[2]) ** 2) ** 0.5
+    parts, left, radius = Parts(probes.sparkSession, "rings"), probes, start
+    while True:
+        tried = kept(nearest(left, network, radius, keys, target, strict=False))
+        last = radius >= reach
+        parts.add(tried if last else tried.where(F.col(target).isNotNull()))
+        left = tried.where(F.col(target).isNull()).select(*probes.columns)
+        if last or left.isEmpty():
+            return parts.all()
+        # The last radius is a little more than the extent, whatever rounding does to distances.
+        radius = min(radius * 2, max(reach * 1.001, radius * 1.001))
 
 
 def busiest_around(probes: DataFrame, network: DataFrame, radius: float, keys: list[str], value: str, name: str | None = None) -> DataFrame:

@@ -62,11 +62,14 @@ def predicted(df: DataFrame, fit: DataFrame, x: str, floor: float = 1e-12) -> Da
     return df.join(F.broadcast(fit)).withColumn("predicted", line).drop("slope", "intercept")  # fit is one row
 
 
-def described(df: DataFrame, value: str, by: list[str] = (), quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+def described(df: DataFrame, value: str, by: list[str] = (), at: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """n, mean, std, min, exact quantiles with linear interpolation, max."""
-    aggs = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev(value).alias("std"), F.min(value).alias("min")]
-    aggs += [F.percentile(value, F.lit(q)).alias(f"p{round(q * 100)}") for q in quantiles]
-    return df.groupBy(*by).agg(*aggs, F.max(value).alias("max"))
+    rows = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    names = [f"p{round(q * 100)}" for q in at]
+    found = quantiles(df, value, list(by), at).select(*[F.col(c).alias(f"_{c}") for c in by], *names)
+    on = [rows[c].eqNullSafe(F.col(f"_{c}")) for c in by]
+    joined = rows.join(found, on, "left") if by else rows.join(F.broadcast(found), how="left")  # one row each
+    return joined.select(*by, "n", "mean", "std", "min", *names, "max")
 
 
 def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
@@ -86,6 +89,42 @@ def lower_quantile(df: DataFrame, value: str, q: float, default: float = 1.0) ->
     return picked.agg(F.coalesce(F.min("v"), F.lit(default)).alias("value"))
 
 
+def quantiles(df: DataFrame, value: str, by: list[str], wanted: tuple[float, ...]) -> DataFrame:
+    """by, and p25, … for wanted quantiles: exact, with linear interpolation between the two values around a place.
+
+    Counts of distinct values are summed, so no task gathers a group's values; without `by` the sums go over ranges.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    if by:
+        upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+        placed = upto.withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    else:
+        total = counts.agg(F.sum("_c").alias("_n"))  # one row
+        placed = running_sum(counts, [F.col("_v")], F.col("_c"), "_upto").join(F.broadcast(total))
+    at = {q: F.lit(q) * (F.col("_n") - 1) for q in wanted}
+    pick = [f(F.when(F.col("_upto") > side(at[q]), F.col("_v"))).alias(f"_{name}{i}") for i, q in enumerate(wanted) for f, side, name in ((F.min, F.floor, "low"), (F.min, F.ceil, "high"))]
+    found = placed.groupBy(*by).agg(F.max("_n").alias("_n"), *pick)
+    share = {q: at[q] - F.floor(at[q]) for q in wanted}
+    return found.select(*by, *[(F.col(f"_low{i}") * (1 - share[q]) + F.col(f"_high{i}") * share[q]).alias(f"p{round(q * 100)}") for i, q in enumerate(wanted)])
+
+
+def top_of_maxima(df: DataFrame, group: str, value: str, n: int) -> DataFrame:
+    """group, value: the n groups with the largest maxima, the smaller group of two."""
+    return df.groupBy(group).agg(F.max(value).alias(value)).orderBy(F.col(value).desc(), group).limit(n)
+
+
+def share_by_band(df: DataFrame, band: Column, hit: Column) -> DataFrame:
+    """band, n, share: how many rows a band has, and the share of them that hit."""
+    return df.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(hit, F.lit(False)).cast("double")).alias("share"))
+
+
+def close_shares(df: DataFrame, by: str, count: str, given: str, within: float = 6e-5) -> DataFrame:
+    """by, n, close: how many rows of a group have a given share that is their count over the largest of all, to `within`."""
+    peak = df.agg(F.max(count).alias("_m"))  # one row
+    near = F.abs(F.col(count) / F.col("_m") - F.col(given)) <= within
+    return df.join(F.broadcast(peak)).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("close"))
+
+
 def draw_band(share: Column) -> Column:
     """2 for busy, 1 for middling, 0 for quiet."""
     return F.when(share >= 0.25, 2).when(share >= 0.06, 1).otherwise(0)

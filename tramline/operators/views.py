@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.functions.bins import per_lane
+from tramline.functions.bins import per_lane, with_poisson
 from tramline.operators.stats import lower_quantile
 
 
@@ -71,6 +71,18 @@ def tooltip(street: DataFrame, cube: DataFrame, segment: str, key) -> DataFrame:
     return street.where(F.col(segment) == key).join(F.broadcast(modes))  # one row
 
 
+def road_tooltip(roads: DataFrame, key: str, value, count: str, names: DataFrame, thin: int = 5) -> DataFrame:
+    """One road's count with its 95 % interval, whether it is too small to tell, counts at both ends of the sweep, crossings
+    per lane, slow index, and the road database's fields.
+
+    roads: key, the count, c0, c8, lanes, slow_index. names: key and the fields.
+    """
+    one = with_poisson(roads.where(F.col(key) == value).withColumn("k", F.col(count).cast("long")), "k")
+    lane = F.when(F.col("lanes") >= 1, F.col("k") / F.col("lanes"))
+    shown = one.select(key, "k", "lo95", "hi95", (F.col("k") < thin).alias("thin"), "c0", "c8", "lanes", lane.alias("per_lane"), "slow_index")
+    return shown.join(names.where(F.col(key) == value), key, "left")
+
+
 def legend(df: DataFrame, layers: Mapping[str, Column]) -> DataFrame:
     """One row: how many rows each layer shows."""
     return df.agg(*[F.count_if(c).alias(name) for name, c in layers.items()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tramline.plans import corridors, graphs, lines, maps, roads, texts, trips
+from tramline.plans import corridors, files, graphs, lines, maps, pieces, roads, texts, trips
 from tramline.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corridors", "graphs", "lines", "maps", "roads", "texts", "trips"]
+__all__ = ["ORACLES", "QUERIES", "corridors", "files", "graphs", "lines", "maps", "pieces", "roads", "texts", "trips"]

@@ -85,19 +85,3 @@ def transit_graph(spark: SparkSession, d: str) -> DataFrame:
     verts = polyline.vertices(polylines(spark, d)).select(F.col("id").alias("route"), "pos", "x", "y")
     _, found = graph.transit_graph(verts, 0.04, 0.125, 0.25)
     return found.withColumn("weight", F.round("weight", 6))
-
-
-@query("bounded_paths")
-def bounded_paths(spark: SparkSession, d: str) -> DataFrame:
-    """A* from the first to the last vertex of each line over the junctions of all, within 1.6 times the chord."""
-    lines = polylines(spark, d)
-    segs = polyline.segments(lines).select(F.concat_ws(":", "id", "pos").alias("edge_id"), "ax", "ay", "bx", "by", "length")
-    nodes, found = graph.junctions(segs)
-    e = polyline.ends(F.col("points"))
-    name = lambda p: F.concat_ws(":", F.bround(p["x"] * 10, 0).cast("long"), F.bround(p["y"] * 10, 0).cast("long"))
-    chord = F.hypot(e["first"]["x"] - e["last"]["x"], e["first"]["y"] - e["last"]["y"])
-    pairs = lines.select(name(e["first"]).alias("src"), name(e["last"]).alias("dst"), chord.alias("chord")).where("src != dst")
-    # Parallel segments of two junctions collapse to the shortest, so a search looks at each neighbour once.
-    shortest = found.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min(F.struct("length", "edge_id")).alias("b")).select("b.edge_id", "src", "dst", "b.length")
-    paths = graph.bounded_paths(pairs, nodes, shortest, slack=0.06, tile=0.5)
-    return paths.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("edges"))

@@ -11,32 +11,72 @@ from collections.abc import Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PARTS = "array<array<struct<x:double,y:double>>>"
 
 
-def read_geojson(spark: SparkSession, path: str, columns: Sequence[str] = (), geometry: bool = True, bbox: tuple[float, float, float, float] | None = None, max_features: int | None = None) -> DataFrame:
-    """Features as rows: source_row, the properties asked for (all without any), and geometry_type and parts.
+def read_geojson(
+    spark: SparkSession, path: str, columns: Sequence[str] = (), geometry: bool = True, bbox: tuple[float, float, float, float] | None = None, max_features: int | None = None, lines: bool = False
+) -> DataFrame:
+    """Features as rows: source_file, source_row, the properties asked for (all without any), and geometry_type and parts.
 
-    bbox keeps features with a vertex within (x0, y0, x1, y1). source_row is the place in its file, so tables of
-    aligned files can be joined on it.
+    bbox keeps features with a vertex within (x0, y0, x1, y1). source_file is the place of a feature's file among all by
+    name and source_row its place there, so tables of aligned files can be joined on both. With lines, each feature
+    stands on a line of its own, as most writers put them, between the lines of a collection or without any: files of any
+    size are then read in splits. Without it a file is one row, as its features may lie in any way over its lines.
     """
-    raw = spark.read.text(path, wholetext=True)
-    features = raw.select(F.posexplode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("source_row", "f"))
+    features = _numbered_lines(spark, path) if lines else _whole_files(spark, path)
+    names = features.select("file").distinct()  # a row for each file
+    ranked = names.withColumn("source_file", F.row_number().over(Window.orderBy("file")) - 1)
+    features = features.join(F.broadcast(ranked), "file")
     props = F.get_json_object("f", "$.properties")
-    rows = features.select("source_row", F.get_json_object("f", "$.geometry.type").alias("geometry_type"), F.get_json_object("f", "$.geometry.coordinates").alias("c"), F.from_json(props, "map<string,string>").alias("p"))
+    rows = features.select("source_file", "source_row", F.get_json_object("f", "$.geometry.type").alias("geometry_type"), F.get_json_object("f", "$.geometry.coordinates").alias("c"), F.from_json(props, "map<string,string>").alias("p"))
     names = list(columns) or [r[0] for r in rows.select(F.explode(F.map_keys("p"))).distinct().orderBy("col").collect()]
-    rows = rows.select("source_row", *[F.try_element_at("p", F.lit(n)).alias(n) for n in names], "geometry_type", _parts(F.col("geometry_type"), F.col("c")).alias("parts"))
+    rows = rows.select("source_file", "source_row", *[F.try_element_at("p", F.lit(n)).alias(n) for n in names], "geometry_type", _parts(F.col("geometry_type"), F.col("c")).alias("parts"))
     if bbox is not None:
         x0, y0, x1, y1 = bbox
         rows = rows.where(F.exists("parts", lambda part: F.exists(part, lambda p: p["x"].between(x0, x1) & p["y"].between(y0, y1))))
     if max_features is not None:
-        rows = rows.orderBy("source_row").limit(max_features)
+        rows = rows.orderBy("source_file", "source_row").limit(max_features)
     return rows if geometry else rows.drop("geometry_type", "parts")
 
 
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, source_row, f: the features of files that are read as a row each."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return raw.select("file", F.posexplode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("source_row", "f"))
+
+
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, source_row, f: the features of files that have one on each of their lines.
+
+    A split numbers its features; how many the splits before it have, a row for each split, gives their place in the file.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+    line = F.regexp_replace(F.trim("value"), r",$", "")
+    features = raw.select("file", "_block", line.alias("f")).where(F.get_json_object("f", "$.type") == "Feature").withColumn("_at", F.monotonically_increasing_id())
+    splits = features.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = splits.select("file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return features.join(F.broadcast(shift), ["file", "_block"]).select("file", (F.col("_at") + F.col("_shift")).cast("int").alias("source_row"), "f")
+
+
+def write_geojson(df: DataFrame, path: str, kind: str, parts: str, properties: Sequence[str]) -> None:
+    """Features of points, lines, polygons and several lines, one on each line; read_geojson(lines=True) reads them."""
+    point = lambda p: F.array(p["x"], p["y"])
+    text = {
+        "Point": F.to_json(point(F.col(parts)[0][0])), "LineString": F.to_json(F.transform(F.col(parts)[0], point)),
+        "Polygon": F.to_json(F.transform(parts, lambda part: F.transform(part, point))),
+    }
+    coordinates = F.when(F.col(kind) == "Point", text["Point"]).when(F.col(kind) == "LineString", text["LineString"]).when(F.col(kind).isin("Polygon", "MultiLineString"), text["Polygon"])
+    coordinates = F.coalesce(coordinates, F.raise_error(F.concat(F.lit("cannot write "), F.coalesce(kind, F.lit("null")))))
+    props = F.to_json(F.struct(*properties), {"ignoreNullFields": "false"})
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":{"type":"'), F.col(kind), F.lit('","coordinates":'), coordinates, F.lit("}}"))
+    df.select(feature.alias("value")).write.text(path)
+
+
 def _points(pairs: Column) -> Column:
     return F.transform(pairs, lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))
 

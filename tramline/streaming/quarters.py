@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators.prefix import shared_dir
+from tramline.store import shared_dir
 
 
 def windowed(stream: DataFrame, ts: str, dim: str, width: str = "15 minutes", late: str = "1 day") -> DataFrame:
