@@ -68,7 +68,7 @@ def test_verdicts(spark):
     assert sum(kept[i] for i in range(60)) >= 58 and sum(kept[i] for i in range(60, 120)) <= 2
     assert all(r.base_failed and not r.kept for r in rows if r.doc_id in (500, 501))
     assert {r.kept for r in rows if r.doc_id is None} == {True}
-    column = docs.select(quality.verdict(None)("text").alias("k")).where("k").count()
+    column = quality.with_statistics(docs).select(quality.verdict(None)("statistics").alias("k")).where("k").count()
     assert column == 122
 
 

@@ -9,7 +9,7 @@ import pytest
 from tests.compare import assert_same, connect
 from tests.llm.test_llm_decontaminate import brute
 from tramline.llm import queries, secrets, simhash
-from tramline.llm.common import stage
+from tramline.store import stage
 
 D = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="needs the driver's tables")
@@ -26,7 +26,7 @@ def test_matches_sql(spark, db, name):
 
 
 def test_names_and_columns(spark):
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
     assert queries.op2_quality_rules(spark, D).columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     assert queries.op3_kd_shards(spark, D).dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
 

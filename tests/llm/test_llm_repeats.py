@@ -40,7 +40,8 @@ def test_small_chunks_and_spans(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choices("abc", k=rng.randrange(0, 60))) for _ in range(80)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    spans = {r["id"]: [tuple(s) for s in r.spans] for r in repeats.repeat_spans(df, "doc_id", window=6, chunk=50).collect()}
+    rows = {(r["id"], r.check): r.key for r in repeats._keyed(df, "doc_id", "text").collect()}
+    spans = {rows[r["id"], r.check]: [tuple(s) for s in r.spans] for r in repeats.repeat_spans(df, "doc_id", window=6, chunk=50).collect()}
     want = brute(texts, 6)
     for i, (_, removed, _) in enumerate(want):
         assert len({k for a, b in spans.get(i, []) for k in range(a, b)}) == removed

@@ -1,6 +1,6 @@
 
 from tramline.llm import rollup
-from tramline.llm.common import scratch
+from tramline.store import scratch
 
 
 def rows_of(df):
@@ -34,9 +34,33 @@ def test_deltas_and_idempotent_commits(spark):
 def test_a_batch_that_died_is_written_anew(spark):
     docs = spark.createDataFrame([("a", "en", 3)], "source string, lang string, n int")
     t = rollup.TokenRollup(spark, scratch(spark, "rollup"))
-    # What a writer leaves that died before its commit: files, but no success file.
-    left = f"{t.path}/batch=x"
-    rollup.inserts(docs, "v", "n").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(left)
+    # What a writer leaves that died before it published: a folder without the batch's name.
+    rollup.inserts(docs, "v", "n").write.parquet(f"{t.path}/made-x")
     assert t.committed() == [] and rows_of(t.totals()) == {}
     assert t.commit("x", rollup.inserts(docs, "v", "n"))
     assert rows_of(t.totals()) == {("a", "en", "v"): (1, 3)}
+
+
+def test_names_of_any_kind_and_two_writers_at_once(spark):
+    docs = spark.createDataFrame([("a", "en", 3)], "source string, lang string, n int")
+    t, other = (rollup.TokenRollup(spark, p) for p in [scratch(spark, "rollup")] * 2)
+    names = ["compact-1", "generation=7", "a/b", "..", "%2F", "\u00fc x", "made-1"]
+    for name in names:
+        assert t.commit(name, rollup.inserts(docs, "v", "n")) and not other.commit(name, rollup.inserts(docs, "v", "n"))
+    assert rows_of(t.totals()) == {("a", "en", "v"): (7, 21)} and t.committed() == sorted(names)
+    # Both writers have seen that the batch is not there; one of them publishes.
+    for one in (t, other):
+        one.known = lambda batch: False
+    assert [one.commit("late", rollup.inserts(docs, "v", "n")) for one in (t, other)] == [True, False]
+    assert rows_of(other.totals()) == {("a", "en", "v"): (8, 24)}
+    # Two compactions of one state: the second is thrown away.
+    state = other._state()
+    assert t.compact()
+    other._state = lambda: state
+    assert not other.compact()
+    del other._state
+    assert rows_of(other.totals()) == {("a", "en", "v"): (8, 24)} and other.committed() == []
+    # A batch published again while it was being folded counts once.
+    assert other.commit("late", rollup.inserts(docs, "v", "n"))
+    assert rows_of(t.totals()) == {("a", "en", "v"): (8, 24)}
+    assert t.compact() and rows_of(t.totals()) == {("a", "en", "v"): (8, 24)}

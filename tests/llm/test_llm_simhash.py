@@ -57,7 +57,7 @@ def test_links_and_components_match_brute_force(spark, hot):
     got = {(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(df, hot).collect()}
     want = {(a, b) for a in distinct for b in distinct if signed(a) < signed(b) and (a ^ b).bit_count() <= 2}
     assert got == want
-    roots = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(simhash.links(df, hot)).collect()}
+    roots = {r.node % (1 << 64): r.component % (1 << 64) for r in simhash.components(simhash.links(df, hot)).collect()}
     groups = brute_components(prints)
     linked = {p for pair in want for p in pair}
     assert set(roots) >= linked - set(roots.values())

@@ -12,7 +12,7 @@ one; other columns are not read. A pair becomes one row, so its turns, and nothi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ASSISTANT = "assistant"
@@ -29,18 +29,19 @@ def _render(turns: Column) -> Column:
 
 
 def _mask(turns: Column) -> Column:
-    """array<struct<start, end>>: the assistant's texts with their end marks, in code points of the rendered turns."""
-    span = "struct<start:int,end:int>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+    """array<struct<start, end>>: the assistant's texts with their end marks, in code points of the rendered turns.
 
-    def step(state: Column, turn: Column) -> Column:
-        start = state["at"] + F.length(_head(turn))
-        end = start + F.length(turn["text"]) + len(END)
-        here = F.array(F.struct(start.alias("start"), end.alias("end")))
-        spans = F.when(turn["role"] == ASSISTANT, F.concat(state["spans"], here)).otherwise(state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+    A turn knows where it ends in its conversation, so its place in the completion is a difference.
+    """
+    own = F.filter(turns, lambda t: t["role"] == ASSISTANT)
+    first = F.try_element_at(turns, F.lit(1))
+    begin = first["upto"] - F.length(_head(first)) - F.length(first["text"]) - len(END)
+
+    def span(t: Column) -> Column:
+        end = (t["upto"] - begin).cast("int")
+        return F.struct((end - F.length(t["text"]) - len(END)).alias("start"), end.alias("end"))
 
-    return F.aggregate(turns, begin, step, lambda state: state["spans"])
+    return F.transform(own, span)
 
 
 def preference_pairs(turns: DataFrame, pair: str, rejected: str, turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -49,10 +50,14 @@ def preference_pairs(turns: DataFrame, pair: str, rejected: str, turn: str = "tu
     rejected names a boolean column: whether the turn belongs to the rejected conversation. Rows in which it or the
     pair is null belong to no pair.
     """
-    one = F.struct(
-        F.col(rejected).alias("rejected"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit(UNKNOWN)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    )
-    pairs = turns.where(F.col(pair).isNotNull() & F.col(rejected).isNotNull()).groupBy(F.col(pair).alias("pair")).agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    known = turns.where(F.col(pair).isNotNull() & F.col(rejected).isNotNull())
+    known = known.select(F.col(pair).alias("pair"), F.col(rejected).alias("rejected"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit(UNKNOWN)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # Dealt by pair once: that serves the running lengths of both sides, and the gathering of turns.
+    dealt = known.repartition("pair")
+    order = Window.partitionBy("pair", "rejected").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    upto = dealt.withColumn("upto", F.sum(F.length(_head(F.struct("role"))) + F.length("text") + len(END)).over(order))
+    one = F.struct("rejected", "turn", "role", "text", "upto")
+    pairs = upto.groupBy("pair").agg(F.array_sort(F.collect_list(one)).alias("turns"))
     sides = pairs.select("pair", F.filter("turns", lambda t: ~t["rejected"]).alias("a"), F.filter("turns", lambda t: t["rejected"]).alias("b"))
     sides = sides.where((F.size("a") > 0) & (F.size("b") > 0))
     same = F.zip_with("a", "b", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))

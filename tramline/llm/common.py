@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import gc
 import re
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tramline.store import drop_since, keep, plan_bytes, shared_dir
+
 #: ASCII white space; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,80 +23,37 @@ BATCH = 8 << 20
 #: Bytes of texts that a worker works on at a time.
 PIECE = 2 << 20
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tramline-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    return path
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        with contextlib.suppress(Exception):
-            delete(spark, path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store, whatever store it is."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists in its store."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: it cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def settled(df: DataFrame, name: str, since: int) -> DataFrame:
-    """stage() for a last result: the folders made since scratch_count() was `since`, and idle shuffles, are deleted."""
-    spark, own = df.sparkSession, _made[since:]
-    out = stage(df, name)
-    for _, path in own:
-        delete(spark, path)
-    del _made[since : since + len(own)]
-    free_shuffles(spark)
-    return out
-
+    """df written to the shared folder; the folders made since scratch_count() was `since` are deleted."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    drop_since(since)
+    keep(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def scratch_count() -> int:
-    return len(_made)
 
+#: Keys that more than one in so many rows have are looked up by broadcast.
+HOT = 1000
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that are out of scope."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, salt: list[str], needless: Column | None = None) -> DataFrame:
+    """rows with the other columns of table, which has a row for each key; null where it has none.
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a frame's size: for a scan, the bytes of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    hot names the keys that more than one in HOT rows have, so it has fewer than HOT rows: what they look up is broadcast.
+    Their rows, and those that are said to be needless, go to the shuffle by a hash of salt in place of the key, so no
+    task gets all rows of a hot key.
+    """
+    values = [c for c in table.columns if c != key]
+    few = table.join(F.broadcast(hot.select(key)), key, "left_semi").select(F.col(key).alias("_few"), *[F.col(c).alias(f"_few_{c}") for c in values])
+    rest = table.join(F.broadcast(hot.select(key)), key, "left_anti").select(F.col(key).alias("_key"), *[F.col(c).alias(f"_own_{c}") for c in values])
+    served = F.col("_few").isNotNull() if needless is None else F.col("_few").isNotNull() | needless
+    spread = F.xxhash64(*salt).cast(rows.schema[key].dataType)
+    first = rows.join(F.broadcast(few), rows[key] == F.col("_few"), "left").withColumn("_served", F.coalesce(served, F.lit(True)))
+    # Rows without a key match nothing either.
+    keyed = first.withColumn("_spread", F.when(F.col("_served") | F.col(key).isNull(), spread).otherwise(F.col(key)))
+    joined = keyed.join(rest, F.col("_spread") == F.col("_key"), "left")
+    found = {c: F.when(F.col("_served"), F.col(f"_few_{c}")).otherwise(F.col(f"_own_{c}")) for c in values}
+    return joined.select(*[F.col(c) for c in rows.columns], *[v.alias(c) for c, v in found.items()])
 
 
 def shuffle_width(df: DataFrame, bytes_each: int) -> int:
@@ -110,12 +65,17 @@ def shuffle_width(df: DataFrame, bytes_each: int) -> int:
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow(run, schema) with Arrow batches of at most BATCH bytes, so long texts don't fill a worker."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", conf.get(key))) > BATCH:
-        conf.set(key, str(BATCH))
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have the session's Arrow batches hold at most BATCH bytes. Spark reads the setting when a job starts, so it stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key))) > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, most: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The same rows in short batches, of at most `most` bytes of texts unless one row has more: what Python holds stays small."""
     for batch in batches:
@@ -136,6 +96,12 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def check_keys(keys: Sequence[str], names: Sequence[str]) -> None:
+    """ValueError for a key that is named like a column of the result: the two could not be told apart."""
+    if taken := sorted({k.lower() for k in keys} & {n.lower() for n in names}):
+        raise ValueError(f"keys are named like columns of the result: {taken}")
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import map_arrow, slices, stage, utf8
+from tramline.llm.common import map_arrow, slices, utf8
+from tramline.store import stage
 
 PASSAGE = 32
 #: Places that terms are hashed into.

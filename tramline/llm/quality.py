@@ -8,8 +8,9 @@ The fitted trees are flattened into numpy node arrays, which score whole Arrow b
 
 Defined results: a null text has no words; such a document, as any of fewer than 50 words, fails the base rule; a
 null id is scored like any other but is never a training row; repeated rows are scored alike; labels that are
-null, or tables without labels of both classes, leave the base rule alone to decide; an empty table gives an
-empty one; only the named columns are read.
+null, or tables without labels of both classes, leave the base rule alone to decide; with labels of both, however few,
+a forest is fitted (of few rows it has hardly a split and gives their share of good ones); an empty table gives an
+empty one; only the named columns are read; a key named like a column of the result is refused (ValueError).
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import map_arrow, slices, stage, utf8
+from tramline.llm.common import bound_batches, check_keys, map_arrow, slices, utf8
+from tramline.store import stage
 
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE = 20_000
@@ -188,7 +189,7 @@ def train(stats: DataFrame, labels: DataFrame, key: str, label: str, sample: int
     chosen = known.orderBy(F.xxhash64(key), key).limit(sample)
     rows = stats.join(chosen, key).orderBy(F.xxhash64(key), key, *COUNTS).limit(sample).select("label", *COUNTS).toPandas()
     y = rows["label"].to_numpy(float)
-    if len(y) < 20 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
     return fit(features(rows[COUNTS].to_numpy()), y, np.array([MONOTONE.get(f, 0) for f in FEATURES]))
 
@@ -209,19 +210,31 @@ def judge(stats: DataFrame, forest: Forest | None, threshold: float = 0.5) -> Da
     return map_arrow(stats, run, schema)
 
 
+def with_statistics(df: DataFrame, text: str = "text", name: str = "statistics") -> DataFrame:
+    """df with an array of the COUNTS of each row's text; all other columns stay in the JVM."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def counts(texts: pa.Array) -> pa.Array:
+        return pa.array([statistics(t) for t in utf8(texts)], pa.list_(pa.int64()))
+
+    bound_batches(df.sparkSession)
+    return df.withColumn(name, counts(F.col(text)))
+
+
 def verdict(forest: Forest | None, threshold: float = 0.5):
-    """A column function of a text column: whether the document is kept. It leaves all other columns in the JVM."""
+    """A column function of an array of COUNTS: whether the document is kept."""
 
-    @F.pandas_udf("boolean")
-    def kept(texts: pd.Series) -> pd.Series:
-        counts = np.array([statistics((t or "").encode()) for t in texts], np.int64).reshape(-1, len(COUNTS))
+    @F.arrow_udf("boolean")
+    def kept(rows: pa.Array) -> pa.Array:
+        counts = np.asarray(rows.flatten()).reshape(-1, len(COUNTS))
         good = ~base_failed(counts[:, 0], counts[:, 4])
-        return pd.Series(good if forest is None else good & (1 / (1 + np.exp(-forest.score(features(counts)))) >= threshold))
+        return pa.array(good if forest is None else good & (1 / (1 + np.exp(-forest.score(features(counts)))) >= threshold))
 
     return kept
 
 
 def quality(df: DataFrame, labels: DataFrame, key: str, text: str = "text", label: str = "quality", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """key, the COUNTS, base_failed, score and kept of every document."""
+    check_keys([key], [*COUNTS, "base_failed", "score", "kept"])
     stats = stage(document_statistics(df, key, text), "quality-stats")
     return judge(stats, train(stats, labels, key, label, sample), threshold)

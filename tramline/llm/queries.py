@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm import bpe, chat, decontaminate, quality, repeats, rollup, secrets, sharding, simhash, warc
-from tramline.llm.common import WORD, documents, scratch, stage
+from tramline.llm.common import WORD, documents
+from tramline.store import scratch, stage
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -81,6 +82,19 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("gap").isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives in which the member of every page divisible by 7 is then damaged: the pages that are
+    read back, and a last row without a page, whether the bytes quarantined are just those of the damaged members."""
+    path = scratch(spark, "warc")
+    warc.write(documents(spark, sf_dir, "pages"), path, "page_id")
+    found = warc.read_contents(warc.damaged(warc.archives(spark, path), 7))
+    kept = found.where(F.col("gap").isNull()).select("page_id", F.col("payload_digest").alias("digest"), F.lit(True).alias("kept"))
+    lost = warc.read(spark, path).where(F.col("page_id") % 7 == 0).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
+    gaps = found.where(F.col("gap").isNotNull()).agg(F.sum("length").alias("quarantined"))
+    total = lost.join(gaps).select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("digest"), (F.col("bytes") == F.col("quarantined")).alias("kept"))  # one row
+    return kept.unionByName(total)
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan every text of documents through a new ledger."""
     found = secrets.scan(documents(spark, sf_dir), scratch(spark, "secret-ledger"), ["doc_id"])
@@ -116,6 +130,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_simhash": op9_simhash,
     "op10_latent_decontamination": op10_latent_decontamination,
+    "warc_salvage": warc_salvage,
 }
 _SIDE = """string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY k)"""
 
@@ -135,6 +150,7 @@ SELECT pair_id, n AS n_prefix, coalesce({_SIDE.replace("ORDER BY k)", "ORDER BY
     "op6_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages), g AS (SELECT h, max(page_id) AS first FROM p WHERE b >= 1000 GROUP BY h)
 SELECT page_id, b AS payload_bytes, p.h AS payload_digest, CASE WHEN b >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN b >= 1000 AND page_id <> first THEN first END AS refers_to FROM p LEFT JOIN g ON g.h = p.h""",
+    "warc_salvage": """SELECT page_id, sha1(coalesce(html, '')) AS digest, true AS kept FROM pages WHERE page_id % 7 <> 0 UNION ALL SELECT NULL, NULL, true""",
     "op8_repeats": r"""WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 p AS (SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS win FROM w, range(1, len(ws) - 33) AS t(i)),
 d AS (SELECT win FROM p GROUP BY win HAVING count(*) > 1),

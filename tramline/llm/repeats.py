@@ -10,12 +10,16 @@ Both comparisons are counts by hash, never pairs, so a passage with a million co
 passages. Rows of the shuffles are not single probes but one packed array for each pair of a map-side chunk and a
 bucket; a hash that a chunk holds twice or more is settled within the chunk, and at most two copies of it travel,
 so a very common passage does not fill a bucket. Blocks compare by about 40 bits, which only proposes windows;
-windows compare by 64 bits within a bucket chosen by other bits of their content.
-
-Rows are told apart by their key and a hash of their text; rows that share both are repeats of each other.
-Defined results: a null or empty text has no words and loses none; texts shorter than the window, likewise; an
-empty table gives an empty one; a null key is kept (its row counts as an occurrence like any other); other columns
-are not read. Texts are read whole.
+windows compare by 64 bits within a bucket chosen by other bits of their content, words themselves are not compared.
+Two different windows of n are taken for one with a chance of about n^2 / 2^65 / buckets in all: at 100 TB, with 1.6e13
+windows and 800,000 buckets, 9 pairs are to be expected; at 1 TB 0.1, at a GB none (1e-7). The buckets grow with the
+input, so a bucket does not: it has some 128 MB of text. A chunk has CHUNK words whatever the input; at 100 TB a bucket
+gets about two of a chunk's probes, in a row that weighs some four times as much as they do.
+
+Rows are told apart by 96 bits of hashes of their key, which may be of any type, and text; rows that share both are
+repeats of each other. Defined results: a null or empty text has no words and loses none; texts shorter than the window,
+likewise; an empty table gives an empty one; a null key is kept (its row counts as an occurrence like any other); other
+columns are not read; a key named like a column of the result is refused (ValueError). Texts are read whole.
 """
 
 from __future__ import annotations
@@ -25,18 +29,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import free_shuffles, map_arrow, shuffle_width, slices, stage, utf8
+from tramline.llm.common import check_keys, map_arrow, shuffle_width, slices, utf8
+from tramline.store import stage
 
 WINDOW = 35
 #: Words that a map-side chunk gathers before it is packed, and known words that a worker remembers.
 CHUNK = 1_500_000
 MEMORY = 1 << 20
-#: Bytes of input for each shuffle partition, where the session's own number gives more.
-PARTITION = 128 << 20
+#: Bytes of input for four buckets, where the session's own number of partitions gives less.
+PARTITION = 512 << 20
 
 _SEED = 0x7265
 _M1, _M2, _32 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
@@ -202,6 +207,13 @@ def _extend(chunk: _Chunk, window: int, width: int, buckets: int) -> list[tuple[
     return [(repeated[1][r[i] : r[i + 1]].tobytes(), values[v[i] : v[i + 1]].tobytes(), asks[a[i] : a[i + 1]].tobytes(), told[t[i] : t[i + 1]].tobytes()) for i in range(buckets)]
 
 
+def _filled(parts: list[tuple[bytes, ...]], names: list[str]) -> pa.RecordBatch:
+    """A row for each bucket that has anything: its number and its arrays."""
+    rows = [(i, *p) for i, p in enumerate(parts) if any(p)]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)], names)
+
+
 def _gather(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
@@ -245,33 +257,27 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     return _rows(np.concatenate([found, _gather(table, "told", _RUN)]))
 
 
-def _check(text: str) -> Column:
-    """A hash of the text that tells rows of one key apart."""
-    return F.xxhash64(text).cast("string").substr(-9, 9).cast("int")
-
-
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"), _check(text).alias("check"), F.col(text).alias("text"))
+    """key, id and check (64 and 32 bits that tell rows apart) and text. Copies share the check, so the key is in the id."""
+    return df.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("id"), F.hash(text).alias("check"), F.col(text).alias("text"))
 
 
 def repeat_spans(df: DataFrame, key: str, text: str = "text", window: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
-    """id (the key, 0 for null), check and spans array<struct<start, end>>: the maximal exact repeats of each row.
+    """id and check (as _keyed() has them) and spans array<struct<start, end>>: the maximal exact repeats of each row.
 
     Starts and ends (exclusive) count words. Rows without a repeat are left out.
     """
-    spark = df.sparkSession
     width = (window + 1) // 2
     buckets = 4 * shuffle_width(df, PARTITION)
-    most = max(chunk, 16 * buckets)
     rows = _keyed(df, key, text).where(F.length("text") >= 2 * window - 1)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Chunk(most)
+        held = _Chunk(chunk)
 
         def packed() -> pa.RecordBatch:
-            parts = zip(*_probe(held, width, buckets), strict=True)
+            out = _filled(_probe(held, width, buckets), ["bucket", "probes", "asks", "told"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], ["bucket", "probes", "asks", "told"])
+            return out
 
         for batch in slices(batches):
             for row, check, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(bytes.split, utf8(batch.column(2))), strict=True):
@@ -282,20 +288,17 @@ def repeat_spans(df: DataFrame, key: str, text: str = "text", window: int = WIND
 
     packed = map_arrow(rows.select("id", "check", "text"), probe, "bucket int, probes binary, asks binary, told binary")
     anchors = stage(packed.groupBy("bucket").applyInArrow(_answer_blocks, "id long, check long, block long"), "repeat-anchors")
-    del packed
-    free_shuffles(spark)
 
     blocks = anchors.groupBy("id", F.col("check").cast("int").alias("check")).agg(F.collect_set("block").alias("blocks"))
     anchored = rows.join(blocks.hint("shuffle_hash"), ["id", "check"]).select("id", "check", "text", "blocks")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Chunk(most)
+        held = _Chunk(chunk)
         names = ["bucket", "repeated", "values", "asks", "told"]
 
         def packed() -> Iterator[pa.RecordBatch]:
             if parts := _extend(held, window, width, buckets):
-                parts = zip(*parts, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], names)
+                yield _filled(parts, names)
             held.clear()
 
         for batch in slices(batches):
@@ -308,8 +311,6 @@ def repeat_spans(df: DataFrame, key: str, text: str = "text", window: int = WIND
 
     packed = map_arrow(anchored, extend, "bucket int, repeated binary, values binary, asks binary, told binary")
     found = stage(packed.groupBy("bucket").applyInArrow(_answer_windows, "id long, check long, start long, length long"), "repeat-windows")
-    del packed
-    free_shuffles(spark)
     last = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length") + (window - 1)).alias("end"))))
     return found.groupBy("id", F.col("check").cast("int").alias("check")).agg(last.alias("spans"))
 
@@ -329,6 +330,7 @@ def _cut(words: list[bytes], spans: list[dict] | None) -> tuple[int, bytes]:
 
 def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = WINDOW) -> DataFrame:
     """key, n_words, n_removed and kept (the words outside all repeats, joined by a space), a row for each row."""
+    check_keys([key], ["n_words", "n_removed", "kept"])
     spans = repeat_spans(df, key, text, window)
     schema = T.StructType([df.schema[key], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
@@ -342,4 +344,4 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = WI
             )
 
     joined = _keyed(df, key, text).join(spans.hint("shuffle_hash"), ["id", "check"], "left")
-    return map_arrow(joined.select(F.col("key").alias(key), "text", "spans"), run, schema)
+    return map_arrow(joined.select(F.col("key").alias(key), F.col("text").alias("_text"), F.col("spans").alias("_spans")), run, schema)

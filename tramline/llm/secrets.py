@@ -3,11 +3,13 @@
 Every historical version of a path is addressed by the SHA-256 of its text. The ledger, a Parquet folder in the
 shared store, holds one row for each blob and rule version that was scanned. A scan takes the distinct blobs,
 drops the pairs that the ledger has, scans the rest, appends them in one Spark commit, and joins the findings
-back to all paths. A run that dies before its commit leaves the ledger as it was.
+back to all paths, those of a blob that many paths hold by broadcast. A run that dies before its commit leaves the
+ledger as it was.
 
 Defined results: a null text is the empty blob, which has no findings; equal texts, repeated rows and ties are one
 blob, scanned once, and every row gets its findings back; null keys stay; an empty table adds nothing and returns
-no rows; only the named columns are read, so others may have any name; texts are scanned whole.
+no rows; only the named columns are read, so others may have any name; texts are scanned whole. A key that is
+named like a column of the findings is refused (ValueError).
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import exists, map_arrow, slices, text_or_empty
+from tramline.llm.common import HOT, check_keys, lookup, map_arrow, slices, text_or_empty
+from tramline.store import exists
 
 #: Rule kinds in the order in which spans of one start are listed; the first three are the base rules.
 KINDS = ("assign", "access", "hex", "pem", "forge")
@@ -126,8 +129,11 @@ def scan(versions: DataFrame, path: str, keys: Sequence[str], text: str = "text"
     secrets, only with with_text and only where there are any).
     """
     spark = versions.sparkSession
+    check_keys(keys, [c.split()[0] for c in FINDINGS.split(", ")])
     map_arrow(unseen(versions, path, text, rule_version), _scan(rule_version, with_text), FINDINGS).write.mode("append").parquet(path)
-    rows = versions.select(*keys, F.sha2(text_or_empty(text), 256).alias("blob"))
-    return rows.join(ledger(spark, path, rule_version).drop("rule_version"), "blob", "left").select(
-        *keys, "blob", "n_assign", "n_access", "n_hex", "base_spans", "spans", "redacted"
-    )
+    rows = versions.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.sha2(text_or_empty(text), 256).alias("blob"))
+    # Sums by task come before the shuffle; fewer than HOT blobs are left.
+    counts = rows.groupBy("blob").agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") * HOT > versions.count()).select("blob")
+    found = lookup(rows, ledger(spark, path, rule_version).drop("rule_version"), "blob", hot, [f"_key{i}" for i in range(len(keys))] or ["blob"])
+    return found.select(*[F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)], "blob", "n_assign", "n_access", "n_hex", "base_spans", "spans", "redacted")

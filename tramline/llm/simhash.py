@@ -15,7 +15,8 @@ Links become components by alternating large-star and small-star steps, each wri
 Defined results: a null or empty text has fingerprint zero and links like any other; a document with fewer words
 than a shingle has one shingle of all its words; repeated rows and exact copies share a fingerprint and so a
 component; ties (a bit set in exactly half of the hashes) are 0; a null id stays null and never names a
-component unless all ids of it are null; an empty table gives an empty result; other columns are not read.
+component unless all ids of it are null; an empty table gives an empty result; other columns are not read; a key named
+like a column of the result is refused (ValueError).
 
 similar() links by resemblance instead: texts whose sets of five-word shingles have a Jaccard similarity of LIKE or
 more. Such texts differ in up to a dozen or more of the 64 bits, and balls that wide meet nearly every fingerprint,
@@ -37,7 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import free_shuffles, map_arrow, scratch_count, settled, slices, stage, utf8
+from tramline.llm.common import HOT as HOT_ROWS
+from tramline.llm.common import check_keys, lookup, map_arrow, settled, slices, utf8
+from tramline.operators.graph import components
+from tramline.store import scratch_count, stage
 
 SEED = 42
 SHINGLE = 3
@@ -122,7 +126,9 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
 
     flips = F.filter(F.array(*[F.lit(m).cast("long") for m in _MASKS1]), lambda m: F.col("value").bitwiseAND(m) == 0)
     ball = F.concat(F.array(F.lit(0).cast("long")), flips)
-    probes = table.select("segment", F.col("fp").alias("a"), "other", F.explode(ball).alias("mask"), "value").withColumn("value", F.col("value").bitwiseOR(F.col("mask")))
+    # The staged table has few files, and each of its rows makes some 17 probes.
+    dealt = table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    probes = dealt.select("segment", F.col("fp").alias("a"), "other", F.explode(ball).alias("mask"), "value").withColumn("value", F.col("value").bitwiseOR(F.col("mask")))
     met = probes.join(index, ["segment", "value"])
     near = met.where(F.col("b").isNotNull()).where((F.col("mask") != 0) | (F.col("a") < F.col("b")))
     near = near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select("a", "b")
@@ -136,37 +142,22 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     return near.unionByName(exact.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of the edges (a, b): root is the smallest node of its component.
-
-    Large-star and small-star steps in turn (Kiveris et al., 2014) until a round changes nothing.
-    """
-    pairs = stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    if pairs.isEmpty():
-        return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    mark = None
-    while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        pairs = stage(small.where(F.col("u") != F.col("v")).distinct(), "links")
-        now = pairs.agg(F.count(F.lit(1)), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first()
-        if now == mark:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
-
-
 def near_duplicates(df: DataFrame, key: str, text: str = "text", width: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """key, fp long and component_id (the smallest key reachable over links), a row for each row."""
-    prints = stage(fingerprints(df, key, text, width), "simhash")
-    classes = stage(prints.groupBy("fp").agg(F.min(key).alias("least")), "simhash-classes")
-    found = components(links(classes.select("fp"), hot))
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    check_keys([key], ["fp", "component_id"])
+    rows = fingerprints(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", width)
+    prints = stage(rows, "simhash")
+    classes = stage(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
+    labels = _labels(classes, components(links(classes.select("fp"), hot)))
+    most = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / HOT_ROWS
+    return lookup(prints, labels, "fp", classes.where(F.col("n") > most), ["key"]).select(F.col("key").alias(key), "fp", "component_id")
+
+
+def _labels(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """fp, component_id (the least key of a component) of classes (fp, least) whose links have the components found."""
+    rooted = classes.select("fp", "least").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select(key, "fp", "component_id")
+    return rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
 
 
 def _bands(hashes: np.ndarray) -> list[int]:
@@ -221,7 +212,7 @@ def similar(df: DataFrame, key: str, text: str = "text", width: int = WIDE, leas
     """key, fp long and component_id (the smallest key reachable over pairs of Jaccard similarity `least`), a row for each row."""
     since = scratch_count()
     sketches = stage(_sketches(df, key, text, width), "similar-sketches")
-    classes = stage(sketches.groupBy("fp").agg(F.min("key").alias("least"), F.first("bands").alias("bands")), "similar-classes")
+    classes = stage(sketches.groupBy("fp").agg(F.min("key").alias("least"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "similar-classes")
     rows = classes.select("fp", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").count().where(F.col("count") > 1).select("band")
     members = stage(rows.join(shared, "band", "left_semi"), "similar-buckets")
@@ -231,10 +222,9 @@ def similar(df: DataFrame, key: str, text: str = "text", width: int = WIDE, leas
     texts = df.select(key, text).join(ones, F.col(key).eqNullSafe(F.col("least")), "left_semi")
     sets = _sketches(texts, key, text, width, True).join(inside, "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes"))
     sets = stage(sets, "similar-sets")
-    free_shuffles(df.sparkSession)
     edges, roots = None, None
     for step in range(3):
-        at = members.withColumn("root", F.col("fp")) if roots is None else members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        at = members.withColumn("root", F.col("fp")) if roots is None else members.join(roots, "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
         parts = at.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp", "band", F.lit(step))).alias("one"), F.min(F.xxhash64("fp", "band", F.lit(step))).alias("order"))
         heads = parts.groupBy("band").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"), F.min_by("one", "order").alias("centre"), F.min_by("root", "order").alias("of"))
         open_ = heads.where("roots > 1").drop("roots")
@@ -248,8 +238,8 @@ def similar(df: DataFrame, key: str, text: str = "text", width: int = WIDE, leas
         more = stage(_verified(pairs, sets, least), "similar-links")
         edges = more if edges is None else edges.unionByName(more)
         roots = stage(components(edges).withColumnRenamed("node", "fp"), "similar-roots")
-    rooted = classes.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
+    labels = _labels(classes, roots.withColumnRenamed("fp", "node"))
+    most = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / HOT_ROWS
+    found = lookup(sketches.select("key", "fp"), labels, "fp", classes.where(F.col("n") > most), ["key"])
     # The sets go before the caller reads the texts once more.
-    return settled(sketches.select(F.col("key").alias(key), "fp").join(labels, "fp").select(key, "fp", "component_id"), "similar", since)
+    return settled(found.select(F.col("key").alias(key), "fp", "component_id"), "similar", since)
