@@ -3,12 +3,17 @@
 import base64
 import hashlib
 import os
+import re
+import zlib
+from collections import Counter
 
 import pytest
 
 from tests.compare import assert_same, connect
 from tests.llm.test_llm_decontaminate import brute
-from tramline.llm import queries, secrets, simhash
+from tests.llm.test_llm_secrets import brute as base_spans
+from tests.llm.test_llm_simhash import brute_print
+from tramline.llm import queries, secrets
 from tramline.store import stage
 
 D = "/root/testdata/sf0.001"
@@ -55,15 +60,50 @@ def test_secrets_and_fingerprints(spark, db):
     docs = dict(db.execute("SELECT doc_id, text FROM documents").fetchall())
     for r in queries.op7_secret_ledger(spark, D).collect():
         found = secrets.find(docs[r.doc_id] or "")
-        assert r.base_sha256 == hashlib.sha256(secrets.joined(found, 3).encode()).hexdigest() and r.spans == secrets.joined(found)
+        counts, base = base_spans(docs[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == counts and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and r.spans == secrets.joined(found)
     prints = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in queries.op9_simhash(spark, D).collect()}
-    assert {i: p for i, (p, _) in prints.items()} == {i: simhash.fingerprint((t or "").encode()) for i, t in docs.items()}
+    assert {i: p for i, (p, _) in prints.items()} == {i: brute_print(t) for i, t in docs.items()}
     for i, (p, c) in prints.items():
         for j, (q, e) in prints.items():
             if (p ^ q).bit_count() <= 2:
                 assert c == e and c <= min(i, j)
 
 
+def test_quality_columns_and_verdict(spark, db):
+    docs, labels = (dict(db.execute(f"SELECT doc_id, {c} FROM {t}").fetchall()) for c, t in (("text", "documents"), ("quality", "labels")))
+    agree = []
+    for r in queries.op2_quality_rules(spark, D).collect():
+        text = docs[r.doc_id] or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        repeated = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)))
+        assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(repeated))
+        assert r.base_failed == (len(words) < 50 or 100 * len(repeated) > 50 * len(words)) and not (r.base_failed and r.kept)
+        if labels.get(r.doc_id) is not None and not r.base_failed:
+            agree.append(r.kept == bool(labels[r.doc_id]))
+    assert sum(agree) >= 0.95 * len(agree)
+
+
+def test_shards_hold_whole_groups(spark, db):
+    docs = dict(db.execute("SELECT doc_id, text FROM documents").fetchall())
+    each, slots, places, weight = Counter(), {}, {}, Counter()
+    for r in queries.op3_kd_shards(spark, D).collect():
+        raw = (docs[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law) == (len(raw) + 16, zlib.crc32(raw), "bytes") and 0 <= r.shard < 40
+        each[r.shard] += r["size"]
+        weight[raw] += r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
+        places.setdefault(raw, set()).add(r.shard)
+    assert sum(map(len, slots.values())) == len(docs) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    mean = sum(each.values()) / 40
+    assert all(len(p) == 1 or weight[t] > mean for t, p in places.items())
+    # A document may be as large as a shard here, so evenness is up to the largest.
+    assert max(each.values()) <= mean + max(len((t or "").encode()) for t in docs.values())
+
+
 def test_leaks(spark, db):
     exact = set(db.execute("SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)").fetchall())
     got = {(r.doc_id, r.item_id) for r in queries.op10_latent_decontamination(spark, D).collect()}
@@ -86,15 +126,18 @@ def test_pipeline(spark, db):
         assert frames[n].columns == pipeline.COLUMNS
     good = {r.doc_id for r in frames[names[0]].collect()}
     assert all(len(docs[i].encode().split()) >= 50 for i in good)
-    # One of each component of what the first stage kept, and that of the smallest id.
-    prints = {i: simhash.fingerprint(docs[i].encode()) for i in good}
+    # One of each component of what the first stage kept, linked by sets of five-word shingles, and that of the smallest id.
+    sets = {}
+    for i in good:
+        words = docs[i].encode().lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
     group = {i: i for i in good}
     changed = True
     while changed:
         changed = False
         for i in good:
             for j in good:
-                if (prints[i] ^ prints[j]).bit_count() <= 2 and group[j] > group[i]:
+                if group[j] > group[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                     group[j], changed = group[i], True
     single = {r.doc_id for r in frames[names[1]].collect()}
     assert single == {i for i in good if group[i] == i}
