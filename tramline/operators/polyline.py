@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tramline.functions.geo import equirectangular, hypot, point_segment_distance, position_on_segment
 
@@ -62,43 +63,41 @@ def _step_lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(dx * dx + dy * dy)
 
 
-_SEGMENT = "array<struct<ax:double,ay:double,bx:double,by:double,length:double,along:double,total:double>>"
-
-
-def _measured(points: Column) -> Column:
-    """The segments of lines, with distances added up once for each line; on Arrow batches, linear in the vertices."""
-
-    @F.arrow_udf(_SEGMENT)
-    def run(lines: pa.Array) -> pa.Array:
-        x, y, ends = _flat(lines)
-        first, step, along, total, counts = [], [], [], [], [0]
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            n = max(b - a - 1, 0)
-            counts.append(n)
-            if n:
-                length = _step_lengths(x[a:b], y[a:b])
-                upto = np.cumsum(length)
-                first.append(np.arange(a, b - 1))
-                step.append(length)
-                along.append(np.concatenate(([0.0], upto[:-1])))
-                total.append(np.full(n, upto[-1]))
-        at = np.concatenate(first) if first else np.empty(0, np.int64)
-        join = lambda parts: np.concatenate(parts) if parts else np.empty(0)
-        columns = [x[at], y[at], x[at + 1], y[at + 1], join(step), join(along), join(total)]
-        rows = pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], ["ax", "ay", "bx", "by", "length", "along", "total"])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), rows)
-
-    return run(points)
-
-
 def segments(lines: DataFrame, key: str = "id", points: str = "points") -> DataFrame:
     """The lines' columns without the points, and pos, ax, ay, bx, by, length, along (distance before the segment) and total.
 
-    Everything comes from the array itself, so nothing is shuffled, and no row carries the whole line.
+    Distances are added up once for each line, on Arrow batches, linear in the vertices; nothing is shuffled, and no row
+    carries a whole line.
     """
     others = [c for c in lines.columns if c != points]
-    rows = lines.select(*others, F.posexplode(_measured(F.col(points))).alias("pos", "seg"))
-    return rows.select(*others, "pos", "seg.*")
+    names = ["ax", "ay", "bx", "by", "length", "along", "total"]
+    schema = T.StructType([*(lines.schema[c] for c in others), T.StructField("pos", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, ends = _flat(batch.column(len(others)))
+            first, step, along, total, counts = [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0)], [np.empty(0)], []
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                counts.append(max(b - a - 1, 0))
+                if b - a > 1:
+                    length = _step_lengths(x[a:b], y[a:b])
+                    upto = np.cumsum(length)
+                    first.append(np.arange(a, b - 1))
+                    step.append(length)
+                    along.append(np.concatenate(([0.0], upto[:-1])))
+                    total.append(np.full(b - a - 1, upto[-1]))
+            at = np.concatenate(first)
+            values = [x[at], y[at], x[at + 1], y[at + 1], *map(np.concatenate, (step, along, total))]
+            yield _repeated(batch, others, np.array(counts, np.int64), [pa.array(v, pa.float64()) for v in values], schema.names)
+
+    return lines.select(*others, points).mapInArrow(run, schema)
+
+
+def _repeated(batch: pa.RecordBatch, others: list[str], counts: np.ndarray, columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    """The other columns as often as each row has results, their numbers within the row, and the results."""
+    row = pa.array(np.repeat(np.arange(len(counts)), counts))
+    number = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(len(others))), pa.array(number, pa.int32()), *columns], names)
 
 
 def cumulative(verts: DataFrame, key: str = "id") -> DataFrame:
@@ -131,40 +130,40 @@ def _placed(rows: DataFrame, fraction: Column) -> DataFrame:
 
 
 def _interpolated(lines: DataFrame, key: str, points: str, wanted: Column) -> DataFrame:
-    """x and y at the distances that `wanted` gives as an array from the column total.
+    """The lines' columns without the points, and j, at, total, x and y at the distances that `wanted` gives as an array from the
+    column total.
 
     The last segment with a length that begins at or before a distance holds the point. Each line's distances are added
-    up once and searched, on Arrow batches; only the samples are exploded.
+    up once and searched, on Arrow batches; only the samples become rows.
     """
     others = [c for c in lines.columns if c != points]
-
-    @F.arrow_udf("array<struct<at:double,x:double,y:double>>")
-    def run(rows: pa.Array, distances: pa.Array) -> pa.Array:
-        x, y, ends = _flat(rows)
-        at = distances.flatten().to_numpy(zero_copy_only=False)
-        cuts = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(distances), 0).to_numpy(zero_copy_only=False))))
-        out, counts = [], [0]
-        for a, b, p, q in zip(ends[:-1].tolist(), ends[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            n = q - p if b - a > 1 else 0
-            counts.append(n)
-            if not n:
-                continue
-            length, want = _step_lengths(x[a:b], y[a:b]), at[p:q]
-            real = np.flatnonzero(length > 0)
-            if not len(real):
-                out.append(np.stack([want, np.full(n, x[a]), np.full(n, y[a])]))
-                continue
-            starts = np.concatenate(([0.0], np.cumsum(length)[:-1]))[real]
-            k = np.maximum(np.searchsorted(starts, want, side="right") - 1, 0)
-            f, seg = np.minimum(1.0, (want - starts[k]) / length[real[k]]), a + real[k]
-            out.append(np.stack([want, x[seg] + f * (x[seg + 1] - x[seg]), y[seg] + f * (y[seg + 1] - y[seg])]))
-        flat = np.concatenate(out, axis=1) if out else np.empty((3, 0))
-        made = pa.StructArray.from_arrays([pa.array(c) for c in flat], ["at", "x", "y"])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), made)
-
-    measured = lines.select(*others, points, array_length(F.col(points)).alias("total"))
-    rows = measured.select(*others, "total", F.posexplode(run(F.col(points), wanted)).alias("j", "s"))
-    return rows.select(*others, "j", "s.at", "total", "s.x", "s.y")
+    schema = T.StructType([*(lines.schema[c] for c in others), T.StructField("j", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in ("at", "total", "x", "y"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(others)
+            x, y, ends = _flat(batch.column(n))
+            distances, totals = batch.column(n + 1), batch.column(n + 2).to_numpy(zero_copy_only=False)
+            at = distances.flatten().to_numpy(zero_copy_only=False)
+            cuts = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(distances), 0).to_numpy(zero_copy_only=False))))
+            out, counts = [np.empty((4, 0))], []
+            for a, b, p, q, total in zip(ends[:-1].tolist(), ends[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), totals.tolist(), strict=True):
+                counts.append(q - p if b - a > 1 else 0)
+                if not counts[-1]:
+                    continue
+                length, want = _step_lengths(x[a:b], y[a:b]), at[p:q]
+                real = np.flatnonzero(length > 0)
+                if not len(real):
+                    out.append(np.stack([want, np.full(q - p, total), np.full(q - p, x[a]), np.full(q - p, y[a])]))
+                    continue
+                starts = np.concatenate(([0.0], np.cumsum(length)[:-1]))[real]
+                k = np.maximum(np.searchsorted(starts, want, side="right") - 1, 0)
+                f, seg = np.minimum(1.0, (want - starts[k]) / length[real[k]]), a + real[k]
+                out.append(np.stack([want, np.full(q - p, total), x[seg] + f * (x[seg + 1] - x[seg]), y[seg] + f * (y[seg + 1] - y[seg])]))
+            yield _repeated(batch, others, np.array(counts, np.int64), [pa.array(c, pa.float64()) for c in np.concatenate(out, axis=1)], schema.names)
+
+    measured = lines.select(*others, points, array_length(F.col(points)).alias("total")).withColumn("_wanted", wanted)
+    return measured.select(*others, points, "_wanted", "total").mapInArrow(run, schema)
 
 
 def line_samples(lines: DataFrame, step: float, least: int = 3, key: str = "id", points: str = "points") -> DataFrame:

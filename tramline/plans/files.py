@@ -16,7 +16,7 @@ from tramline.operators import pack, polyline, roads
 from tramline.plans.base import VERTEX, polylines, table
 from tramline.plans.registry import query
 from tramline.sources import geometry, roaddb, sqlite, tables
-from tramline.store import scratch
+from tramline.store import scratch, stage
 
 _FIRST = "round(max(x) FILTER (pos = 0), 6) AS x0, round(max(y) FILTER (pos = 31), 6) AS y1"
 
@@ -223,5 +223,6 @@ def statistics_sink(spark: SparkSession, d: str) -> DataFrame:
 def packed_lines(spark: SparkSession, d: str) -> DataFrame:
     """Each line's differences, at a scale at which none is split, packed to bytes and unpacked."""
     steps = polyline.deltas(polyline.halved_jumps(polyline.quantised(F.col("points"), 1e4)))
-    raw = polylines(spark, d).withColumn("data", pack.packed_deltas(steps)).withColumn("back", pack.unpacked_deltas(F.col("data")))
-    return raw.select("id", F.posexplode("back").alias("pos", "p")).select("id", "pos", F.col("p.x").alias("dx"))
+    # Written before it is exploded, as the optimizer would take the Python function into the generator, which cannot call it.
+    back = stage(polylines(spark, d).select("id", pack.unpacked_deltas(pack.packed_deltas(steps)).alias("back")), "packed")
+    return back.select("id", F.posexplode("back").alias("pos", "p")).select("id", "pos", F.col("p.x").alias("dx"))

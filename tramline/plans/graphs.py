@@ -67,7 +67,13 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(edges(spark, d))
 
 
-@query("betweenness_sampled")
+@query("betweenness_sampled", f"""WITH RECURSIVE {_EDGES}, src AS (SELECT a AS node FROM (SELECT DISTINCT a FROM arc) ORDER BY md5('7:' || a), a LIMIT {SOURCES}),
+sp(source, node, distance) USING KEY (source, node) AS (SELECT node, node, CAST(0 AS BIGINT) FROM src
+  UNION SELECT sp.source, arc.b, min(sp.distance + weight) FROM sp JOIN arc ON arc.a = sp.node LEFT JOIN recurring.sp AS r ON r.source = sp.source AND r.node = arc.b WHERE r.distance IS NULL OR sp.distance + weight < r.distance GROUP BY ALL),
+pr AS (SELECT f.source, arc.b AS node, min(arc.a) AS pred FROM sp f JOIN arc ON arc.a = f.node JOIN sp t ON t.source = f.source AND t.node = arc.b AND f.distance + weight = t.distance GROUP BY ALL),
+wk(source, node) AS (SELECT source, node FROM sp WHERE node <> source UNION ALL SELECT wk.source, pred FROM wk JOIN pr ON pr.source = wk.source AND pr.node = wk.node WHERE pred <> wk.source),
+cr AS (SELECT least(wk.node, pred) AS a, greatest(wk.node, pred) AS b, count(*) AS credit FROM wk JOIN pr ON pr.source = wk.source AND pr.node = wk.node GROUP BY ALL)
+SELECT ed.a, ed.b, round(coalesce(credit, 0) / ((SELECT count(*) FROM src) * greatest((SELECT count(DISTINCT a) FROM arc) - 1, 1)), 9) AS betweenness FROM ed LEFT JOIN cr ON cr.a = ed.a AND cr.b = ed.b""")
 def betweenness_sampled(spark: SparkSession, d: str) -> DataFrame:
     """Edge betweenness from SOURCES nodes chosen by hash; from all, and so exact, where there are fewer."""
     found = edges(spark, d)

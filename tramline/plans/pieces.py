@@ -84,7 +84,7 @@ def whole_flow_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 _TRANSIT = f"""{VERTEX}, g AS (SELECT id, cls, pos, CAST(round_even(x / 0.1, 0) AS BIGINT) AS gx, CAST(round_even(y / 0.1, 0) AS BIGINT) AS gy FROM v WHERE cls < 5),
 r AS (SELECT gx, gy, lead(gx) OVER w AS hx, lead(gy) OVER w AS hy FROM g WINDOW w AS (PARTITION BY id ORDER BY pos)),
-n AS (SELECT DISTINCT gx, gy, gx || ':' || gy AS id, gx * 0.1 AS x, gy * 0.1 AS y FROM g),
+n AS (SELECT DISTINCT gx, gy, gx || ':' || gy AS id, gx * CAST(0.1 AS DOUBLE) AS x, gy * CAST(0.1 AS DOUBLE) AS y FROM g),
 e AS (SELECT gx || ':' || gy AS a, hx || ':' || hy AS b, CAST(round(1000 * round(sqrt((hx - gx) * (hx - gx) + (hy - gy) * (hy - gy)), 6), 0) AS BIGINT) AS w FROM r WHERE hx IS NOT NULL AND (hx <> gx OR hy <> gy)
   UNION ALL SELECT p.id, q.id, CAST(round(1000 * round(sqrt((p.gx - q.gx) * (p.gx - q.gx) + (p.gy - q.gy) * (p.gy - q.gy)), 6), 0) AS BIGINT) + 2500 FROM n p JOIN n q ON p.id < q.id AND (p.gx - q.gx) * (p.gx - q.gx) + (p.gy - q.gy) * (p.gy - q.gy) <= 4),
 ed AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(w) AS weight FROM e GROUP BY ALL), arc AS (SELECT a, b, weight FROM ed UNION ALL SELECT b, a, weight FROM ed)"""
@@ -274,7 +274,7 @@ def geodesic_length(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("raster_cells", f"""WITH {VERTEX}, m AS (SELECT id, pos, 299000 + (x + 0.4) * 40000 AS e, 6383900 + (y + 0.4) * 40000 AS n FROM v), c AS (SELECT id, pos, CAST(floor((e - 299000) / 100) AS BIGINT) AS ix, CAST(floor((n - 6383900) / 100) AS BIGINT) AS iy FROM m)
-SELECT ix, iy, (ix + 0.5) * 100 + 299000 AS e, (iy + 0.5) * 100 + 6383900 AS n, count(*) AS vertices FROM c WHERE ix BETWEEN 0 AND 360 AND iy BETWEEN 0 AND 334 GROUP BY ALL""")
+SELECT ix, iy, CAST((ix + 0.5) * 100 + 299000 AS DOUBLE) AS e, CAST((iy + 0.5) * 100 + 6383900 AS DOUBLE) AS n, count(*) AS vertices FROM c WHERE ix BETWEEN 0 AND 360 AND iy BETWEEN 0 AND 334 GROUP BY ALL""")
 def raster_cells(spark: SparkSession, d: str) -> DataFrame:
     """Vertices by cell of the raster with the cells' centres; those outside are dropped."""
     rows = polyline.vertices(polylines(spark, d)).select((F.lit(299_000) + (F.col("x") + 0.4) * 40_000).alias("e"), (F.lit(6_383_900) + (F.col("y") + 0.4) * 40_000).alias("n"))
