@@ -223,6 +223,7 @@ def statistics_sink(spark: SparkSession, d: str) -> DataFrame:
 def packed_lines(spark: SparkSession, d: str) -> DataFrame:
     """Each line's differences, at a scale at which none is split, packed to bytes and unpacked."""
     steps = polyline.deltas(polyline.halved_jumps(polyline.quantised(F.col("points"), 1e4)))
-    # Written before it is exploded, as the optimizer would take the Python function into the generator, which cannot call it.
-    back = stage(polylines(spark, d).select("id", pack.unpacked_deltas(pack.packed_deltas(steps)).alias("back")), "packed")
+    # Written before and after, as the optimizer would mix the Python functions with expressions that cannot call them.
+    coded = stage(polylines(spark, d).select("id", steps.alias("d")), "steps")
+    back = stage(coded.select("id", pack.unpacked_deltas(pack.packed_deltas(F.col("d"))).alias("back")), "packed")
     return back.select("id", F.posexplode("back").alias("pos", "p")).select("id", "pos", F.col("p.x").alias("dx"))
