@@ -168,3 +168,16 @@ def test_rerouted(spark):
     trips = frame(spark, [(1, "straight", [1]), (2, "osm_route", [2]), (3, "straight", [3])], kind)
     new = frame(spark, [(1, [9]), (2, [9])], "trip_id long, points array<int>")
     assert {r.trip_id: (r.match, r.points) for r in flows.rerouted(trips, new).collect()} == {1: ("osm_network", [9]), 2: ("osm_route", [2]), 3: ("straight", [3])}
+
+
+def test_spearman_of_values_that_change_with_each_evaluation(spark):
+    import random
+
+    # As sums of doubles do, whose last bits depend on the order of their rows.
+    noise = F.udf(lambda i: i + random.random() / 2, "double").asNondeterministic()
+    rows = spark.range(40).select(noise("id").alias("a"), F.col("id").cast("double").alias("b"))
+    got = stats.spearman(rows, "a", "b").first()
+    assert (got.n, got.rho) == (40, 1.0) and got.r_log > 0.9
+    keyed = rows.withColumn("key", F.col("b"))
+    residuals = stats.rank_residual(keyed, "key", "a", "b", F.lit(True)).collect()
+    assert len(residuals) == 40 and all(r.residual == 0.0 for r in residuals)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.operators.prefix import running_sum
+from tramline.operators.prefix import kept, running_sum
 
 
 def with_average_rank(df: DataFrame, value: str, out: str, by: list[str] = ()) -> DataFrame:
     """df with the mean rank of equal values, from 1; null values have none and count for none.
 
-    Ranks come from the counts of distinct values, so the sort is over distinct values, not over rows.
+    Ranks come from the counts of distinct values, so the sort is over distinct values, not over rows. df is evaluated
+    twice and joined by value: sums of doubles, which depend on the order of their rows, must be written before.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     if by:
@@ -30,7 +31,7 @@ def with_percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 
 def rank_residual(df: DataFrame, key: str, a: str, b: str, shown: Column) -> DataFrame:
     """key, residual: percent rank of a less that of b, both over the rows shown."""
-    base = df.where(shown & F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, a, b)
+    base = kept(df.where(shown & F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, a, b))
     ranked = with_percent_rank(with_percent_rank(base, a, "_ra"), b, "_rb")
     return ranked.select(key, (F.col("_ra") - F.col("_rb")).alias("residual"))
 
@@ -44,7 +45,7 @@ def _corr(a: str, b: str) -> Column:
 
 def spearman(df: DataFrame, a: str, b: str, least: int = 8, digits: int = 3) -> DataFrame:
     """One row: n, rho, and r of log1p; only n where fewer than `least` rows have both."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    both = kept(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")))
     ranked = with_average_rank(with_average_rank(both, "a", "ra"), "b", "rb").withColumns({"la": F.log1p("a"), "lb": F.log1p("b")})
     enough = F.count(F.lit(1)) >= least
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.when(enough, F.round(_corr("ra", "rb"), digits)).alias("rho"), F.when(enough, F.round(_corr("la", "lb"), digits)).alias("r_log"))
