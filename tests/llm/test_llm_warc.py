@@ -115,3 +115,20 @@ def test_archives_are_bounded_by_bytes(spark, monkeypatch):
     sizes = [r.n for r in warc.archives(spark, path).selectExpr("length(content) AS n").collect()]
     assert len(sizes) > 5 and max(sizes) < (1 << 20) + 600_000
     assert sorted(r.page_id for r in warc.read(spark, path).collect()) == list(range(40))
+
+
+def test_damaged_headers_are_not_taken():
+    # A header is under no digest: where its bytes change and the record still reads, only the member's checksum tells.
+    rng = random.Random(1)
+    for i in range(300):
+        payload = " ".join(rng.choices(["a", "bb", "ccc"], k=rng.randrange(60))).encode()
+        raw = warc.record(7 * i, f"http://example.com/{rng.randrange(10**9)}", payload, hashlib.sha1(payload).hexdigest(), rng.choice([None, 5]))
+        data = bytearray(warc.member(raw))
+        data[len(data) // 2] ^= 0xFF
+        found = list(warc.salvage(bytes(data)))
+        assert keys(found) == [] and [(f.offset, f.length) for f in found] == [(0, len(data))], i
+    # Where another record of the member shows the damage, the rest stay.
+    raws = archive(4, plain=True)
+    bad = b"".join(raws).replace(b"<p>2</p>", b"<p>x</p>", 1)
+    stream = zlib.compress(bad, 6, 31)[:-8] + zlib.compress(b"".join(raws), 6, 31)[-8:]
+    assert keys(warc.salvage(stream)) == list("013")

@@ -11,9 +11,12 @@ by empty members for the shares that it takes besides, so a file has no more tha
 Reading. A record is taken if its member inflates with the right checksum and the version line, header, length, end
 and digest of the record hold. If a check of a record fails, the reader searches for the next version line, within a
 member in its content, from which a valid record can be read, and goes on there. If a member breaks off or its checksum
-fails, its content as far as it inflates is searched in the same way, but only records whose own digest holds are taken;
-then the reader goes on at the next gzip magic number or version line from which something valid can be read. What lies
-between is reported as a quarantined gap: bytes of the archive, and for one inside a member its place in the content
+fails, its content as far as it inflates is searched in the same way, but only records whose own digest holds are taken.
+A digest does not cover a record's header. So where the checksum of a whole stream fails although every record passes, a
+header may be damaged, and none is taken, unless the checksum itself is what is damaged: one field of the trailer holds
+and the other differs in one byte at most. Of a member that breaks off, the record in which or with which it does is not
+taken. Then the reader goes on at the next gzip magic number or version line from which something valid can be read that
+was not taken already (a member may store its content as it is). What lies between is reported as a quarantined gap: bytes of the archive, and for one inside a member its place in the content
 beside the member's. A record lost in a gap takes no others with it but those that the broken stream hides.
 
 Defined results: a null payload is empty; a null url is left out of the header; a null key gives a record without a
@@ -26,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -52,6 +56,8 @@ _TYPES = {"warcinfo", "response", "resource", "request", "metadata", "revisit",
 _URN = "urn:tramline:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EMPTY = zlib.compress(b"", LEVEL, 31)
+#: What is wrong with a member that inflates.
+BROKEN_OFF, CHECKSUM = "member without end", "checksum differs"
 
 
 def record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -166,14 +172,18 @@ def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str
     while not unpack.eof:
         piece = view[at : at + step]
         if not piece:
-            return b"".join(out), at, "member without end"
+            return b"".join(out), at, BROKEN_OFF
         before = unpack.copy() if careful else None
         try:
             out.append(unpack.decompress(piece))
-        except zlib.error:
+        except zlib.error as e:
             if before is None:  # from the beginning again, now with a state to go back to before each piece
                 unpack, out, at, careful = zlib.decompressobj(31), [], begin, True
             elif step == 1:
+                # Checksum and length are compared at their last bytes, the fourth and the eighth of the trailer.
+                for field, end in (("data check", at + 5), ("length check", at + 1)):
+                    if field in str(e):
+                        return b"".join(out), end, CHECKSUM
                 return b"".join(out), at, "member is damaged"
             else:
                 unpack, step = before, step // 16
@@ -198,6 +208,26 @@ def _inside(content: bytes, sure: bool) -> Iterator[Found]:
             yield Found(gap, at - gap, str(e))
 
 
+def _damaged(content: bytes, trailer: bytes, wrong: str) -> list[Found]:
+    """Records and gaps of the content of a member with a fault: records only where the fault leaves them certain."""
+    found = list(_inside(content, True))
+    if wrong == BROKEN_OFF and found:
+        found[-1].reason = found[-1].reason or wrong
+    elif wrong == CHECKSUM and not _trailer_alone(content, trailer) and all(f.reason is None for f in found):
+        for f in found:
+            f.reason = wrong
+    return found
+
+
+def _trailer_alone(content: bytes, trailer: bytes) -> bool:
+    """Whether a member's content bears out its trailer but for one field's byte, so that the content is not what is damaged."""
+    if len(trailer) < 8:
+        return False
+    own = zlib.crc32(content).to_bytes(4, "little") + (len(content) & 0xFFFFFFFF).to_bytes(4, "little")
+    crc, size = (sum(a != b for a, b in zip(own[k : k + 4], trailer[k : k + 4], strict=True)) for k in (0, 4))
+    return crc == 0 or (crc == 1 and size == 0)
+
+
 def _reads(data: bytes, at: int, sure: bool = False) -> bool:
     """Whether something valid can be read at a place."""
     if not data.startswith(_GZIP, at):
@@ -205,8 +235,31 @@ def _reads(data: bytes, at: int, sure: bool = False) -> bool:
             return bool(_record(data, at, sure))
         except ValueError:
             return False
-    content, _, wrong = _inflate(data, at)
-    return wrong is None or any(f.reason is None for f in _inside(content, True))
+    content, end, wrong = _inflate(data, at)
+    return wrong is None or any(f.reason is None for f in _damaged(content, data[end - 8 : end], wrong))
+
+
+def _same(found: Found) -> tuple:
+    return *found.header.items(), hashlib.sha1(found.payload).digest()
+
+
+def _onward(data: bytes, at: int, taken: Counter) -> int:
+    """The next place from which something valid can be read; a member that stores its content shows the records taken from it once more."""
+    while m := _CANDIDATE.search(data, at + 1):
+        at = m.start()
+        if data.startswith(_GZIP, at):
+            if _reads(data, at):
+                return at
+            continue
+        try:
+            found, end = _record(data, at)
+        except ValueError:
+            continue
+        if not taken[_same(found)]:
+            return at
+        taken[_same(found)] -= 1
+        at = end - 1
+    return len(data)
 
 
 def salvage(data: bytes) -> Iterator[Found]:
@@ -216,7 +269,7 @@ def salvage(data: bytes) -> Iterator[Found]:
         inner: list[Found] = []
         if data.startswith(_GZIP, at):
             content, end, wrong = _inflate(data, at)
-            inner = list(_inside(content, wrong is not None))
+            inner = list(_inside(content, False)) if wrong is None else _damaged(content, data[end - 8 : end], wrong)
         else:
             try:
                 found, at = _record(data, at)
@@ -228,9 +281,7 @@ def salvage(data: bytes) -> Iterator[Found]:
         if wrong is None:
             at = end
         else:
-            while (m := _CANDIDATE.search(data, at + 1)) and not _reads(data, m.start()):
-                at = m.start()
-            at = m.start() if m else len(data)
+            at = _onward(data, at, Counter(_same(f) for f in inner if f.reason is None))
         for f in inner:
             if f.reason is None or wrong is None:
                 f.inner_offset, f.inner_length, f.offset, f.length = f.offset, f.length, start, at - start
