@@ -130,3 +130,31 @@ def test_timed_positions(spark):
     steps = F.array(*[F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for x, y in ((0, 0), (0, 100000), (0, 300000))])
     got = spark.range(1).select(polyline.timed_positions(steps, F.lit(0.0), F.lit(80.0)).alias("p")).first().p
     assert [(p["x"], p["y"], p["t"]) for p in got] == [(0, 0, 0), (0, 1, pytest.approx(20)), (0, 4, pytest.approx(80))]
+
+
+def test_nearest_and_busiest_without_pairs(spark, monkeypatch):
+    import random
+
+    def brute(x, y, rows, reach, strict):
+        away = [((x - a) * (x - a) + (y - b) * (y - b)) ** 0.5 for a, b, _ in rows]
+        return [(d, r[2]) for d, r in zip(away, rows, strict=True) if (d < reach if strict else d <= reach)]
+
+    monkeypatch.setattr(snap, "within", None)  # pairs of a crowded place would be too many
+    rng = random.Random(5)
+    at = lambda: (rng.gauss(6_400_000, 9), rng.gauss(-300, 9)) if rng.random() < 0.8 else (6_400_000 + rng.randrange(-40, 40) / 2, -300 + rng.randrange(-40, 40) / 2)
+    net = [(*at(), f"{rng.randrange(300)}:{k}") for k in range(900)] + [(6_400_000.0, -300.0, f"h{k}") for k in range(300)] + [(6_400_050.0 + k / 5e3, -300.0, f"d{k}") for k in range(400)]
+    probes = [(i, *at()) for i in range(500)] + [(500 + i, 6_400_000.0, -300.0) for i in range(200)] + [(700, None, 1.0), (701, float("nan"), 1.0), (702, float("inf"), 1.0), (703, 0.0, 0.0), (704, 6_400_050.01, -300.0)]
+    odd = [(None, 1.0, "z"), (float("nan"), 1.0, "z"), (float("-inf"), 1.0, "z")]
+    frames = points(spark, probes, "id long, x double, y double"), points(spark, [*net, *odd], "x double, y double, name string")
+    for reach, strict in ((4.0, True), (0.5, False), (60.0, False)):
+        got = {r.id: (r.distance, r.name) for r in snap.nearest(*frames, reach, ["id"], "name", strict).collect()}
+        most = {r.id: r.name for r in snap.busiest_around(*frames, reach, ["id"], "name").collect()}
+        assert len(got) == len(most) == len(probes)
+        for i, x, y in probes:
+            near = brute(x, y, net, reach, strict) if x is not None else []
+            assert got[i] == (min(near) if near else (None, None)), (i, reach)
+            near = brute(x, y, net, reach, False) if x is not None else []
+            assert most[i] == (max(n for _, n in near) if near else None), (i, reach)
+    none = frames[0].limit(0), frames[1].limit(0)
+    assert snap.nearest(none[0], frames[1], 1.0, ["id"], "name").count() == 0
+    assert {r.name for r in snap.nearest(frames[0], none[1], 1.0, ["id"], "name").collect()} == {None}

@@ -1,14 +1,26 @@
 """Snapping points and lines to a network.
 
-A nearest-within-tolerance join is an equi-join on grid cells as wide as the tolerance: network points stay in their
+All pairs within a radius come from an equi-join on grid cells as wide as the radius: network points stay in their
 cell, probes look into theirs and the eight around it. Nothing is broadcast and nothing compared beyond
 neighbouring cells; a crowded cell is an ordinary skewed key, which AQE splits.
+
+The nearest point, and the busiest, need no pairs. Probes of a place are asked once, network points of a place count once.
+Both are dealt by tiles of four tolerances, points near a border to each tile that it may concern, and tiles by buckets;
+a bucket is searched on numpy arrays. The nearest is sought in grids of doubling cells, from about two points a cell on:
+whoever finds one no farther than a cell is done. The busiest is sought in blocks of falling values, of doubling size:
+whoever finds one is done. So work and what is shuffled are about linear in the rows, however crowded a place is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tramline.functions.geo import hypot
 from tramline.operators.prefix import kept
@@ -37,12 +49,158 @@ def spread(probes: DataFrame, keys: list[str]) -> DataFrame:
     return probes.repartition(int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+#: Width of a tile in tolerances, buckets for each shuffle partition, pairs that are compared at a time, points of the first block.
+TILE, BUCKETS, PAIRS, BLOCK = 4, 4, 1 << 21, 64
+#: By what share of a cell rounding may misplace a point; cells are at least FINEST of the coordinates wide, so it never does by more.
+SLACK, FINEST = 1e-6, 1e-9
+
+
+def _ranks(columns: list[pa.Array]) -> np.ndarray:
+    """Numbers that stand in Spark's order of the rows of some columns: nulls first, NaN last."""
+    keys = []
+    for c in columns:
+        if pa.types.is_floating(c.type):
+            rank = np.unique(pc.fill_null(c, 0.0).to_numpy(zero_copy_only=False), return_inverse=True)[1] + 1
+            keys.append(np.where(pc.is_null(c).to_numpy(zero_copy_only=False), 0, rank))
+        else:
+            keys.append(pc.rank(c, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64))
+    order = np.lexsort(keys[::-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
+class _Grid:
+    """Points by square cells, sorted so that the cells above one another are a range."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, size: float):
+        cx, cy = np.floor(x / size), np.floor(y / size)
+        self.size, self.columns = size, np.unique(cx)
+        self.low, self.span = cy.min(), cy.max() - cy.min() + 1
+        key = np.searchsorted(self.columns, cx) * self.span + (cy - self.low)
+        self.order = np.argsort(key, kind="stable")
+        self.key = key[self.order]
+
+    def crowd(self) -> int:
+        """Points of the fullest cell."""
+        return int(np.unique(self.key, return_counts=True)[1].max())
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Numbers of probes, where the pairs of each begin, and the points of their cell and the eight around it; some PAIRS at a time."""
+        cx, cy = np.floor(x / self.size), np.floor(y / self.size)
+        bottom, top = np.clip(cy - 1 - self.low, 0, self.span), np.clip(cy + 1 - self.low, -1, self.span - 1)
+        for side in (-1, 0, 1):
+            at = np.searchsorted(self.columns, cx + side)
+            there = np.flatnonzero(self.columns[np.minimum(at, len(self.columns) - 1)] == cx + side)
+            first = np.searchsorted(self.key, at[there] * self.span + bottom[there], "left")
+            n = np.searchsorted(self.key, at[there] * self.span + top[there], "right") - first
+            there, first, n = there[n > 0], first[n > 0], n[n > 0]
+            ends = np.cumsum(n)
+            begin = 0
+            while begin < len(n):
+                before = ends[begin - 1] if begin else 0
+                stop = max(begin + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+                some = n[begin:stop]
+                starts = ends[begin:stop] - some - before
+                points = np.arange(some.sum()) + np.repeat(first[begin:stop] - starts, some)
+                yield there[begin:stop], starts, self.order[points]
+                begin = stop
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, rank: np.ndarray, reach: float, strict: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The least distance of each probe, and its point, of equally near ones that of the least rank; -1 where none is within reach."""
+    distance, best = np.full(len(x), np.inf), np.full(len(x), -1, np.int64)
+    point = np.argsort(rank)
+    # A little wider than the reach, so that rounding keeps no point out of the cells around.
+    size = reach * (1 + SLACK)
+    level = int(np.ceil(np.log2(max(1, _Grid(nx, ny, size).crowd() / 2)) / 2))
+    widest = max(np.abs(nx).max(), np.abs(ny).max(), size)
+    left = np.arange(len(x))
+    for k in range(max(0, min(level, int(np.log2(size / (widest * FINEST))))), -1, -1):
+        grid = _Grid(nx, ny, size / 2**k)
+        found, least = np.full(len(left), np.inf), np.full(len(left), len(rank), np.int64)
+        for who, starts, points in grid.near(x[left], y[left]):
+            n = np.diff(np.append(starts, len(points)))
+            dx, dy = np.repeat(x[left[who]], n) - nx[points], np.repeat(y[left[who]], n) - ny[points]
+            d = np.sqrt(dx * dx + dy * dy)
+            d0 = np.minimum.reduceat(d, starts)
+            r0 = np.minimum.reduceat(np.where(d == np.repeat(d0, n), rank[points], len(rank)), starts)
+            least[who] = np.where(d0 < found[who], r0, np.where(d0 == found[who], np.minimum(r0, least[who]), least[who]))
+            found[who] = np.minimum(found[who], d0)
+        done = found <= grid.size * (1 - SLACK) if k else (found < reach if strict else found <= reach)
+        distance[left[done]], best[left[done]] = found[done], point[least[done]]
+        left = left[~done]
+    return distance, best
+
+
+def _busiest(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, rank: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The distance and the point of the greatest rank within reach of each probe; -1 where there is none."""
+    distance, best = np.full(len(x), np.inf), np.full(len(x), -1, np.int64)
+    falling = np.argsort(-rank)
+    left, begin, n = np.arange(len(x)), 0, BLOCK
+    while begin < len(falling) and len(left):
+        block = falling[begin : begin + n]
+        bx, by, br = nx[block], ny[block], rank[block]
+        most = np.full(len(left), -1, np.int64)
+        for who, starts, points in _Grid(bx, by, reach * (1 + SLACK)).near(x[left], y[left]):
+            n_of = np.diff(np.append(starts, len(points)))
+            dx, dy = np.repeat(x[left[who]], n_of) - bx[points], np.repeat(y[left[who]], n_of) - by[points]
+            inside = np.sqrt(dx * dx + dy * dy) <= reach
+            most[who] = np.maximum(most[who], np.maximum.reduceat(np.where(inside, br[points], -1), starts))
+        done = most >= 0
+        best[left[done]] = falling[len(falling) - 1 - most[done]]
+        left = left[~done]
+        begin, n = begin + n, n * 2
+    return distance, best
+
+
+def _searched(probes: DataFrame, points: DataFrame, values: list[str], reach: float, search: Callable) -> DataFrame:
+    """The distinct places x, y of probes that have a result, with its distance and the values of its point (x, y, values)."""
+    buckets = BUCKETS * int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tile = lambda c: F.floor(c / (TILE * reach))
+    bucket = lambda i, j: F.pmod(F.xxhash64(i, j), F.lit(buckets))
+    # Beyond the reach by a little, whatever rounding does.
+    spans = [F.sequence(tile(F.col(c) - reach * (1 + SLACK)), tile(F.col(c) + reach * (1 + SLACK))) for c in ("x", "y")]
+    around = F.array_distinct(F.flatten(F.transform(spans[0], lambda i: F.transform(spans[1], lambda j: bucket(i, j)))))
+    dealt = points.select(F.explode(around).alias("_bucket"), "x", "y", *values)
+    asked = _finite(probes).distinct().select(bucket(tile(F.col("x")), tile(F.col("y"))).alias("_bucket"), "x", "y")
+    schema = T.StructType([*(T.StructField(n, T.DoubleType()) for n in ("x", "y", "distance")), *(points.schema[v] for v in values)])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        columns = [right.column(v).combine_chunks() for v in values]
+        x, y, nx, ny = (t.column(c).to_numpy() for t in (left, right) for c in ("x", "y"))
+        if len(x) and len(nx):
+            distance, best = search(x, y, nx, ny, _ranks(columns))
+        else:
+            distance, best = np.empty(len(x)), np.full(len(x), -1, np.int64)
+        hit = np.flatnonzero(best >= 0)
+        taken = pa.array(best[hit])
+        return pa.table([pa.array(x[hit]), pa.array(y[hit]), pa.array(distance[hit]), *(c.take(taken) for c in columns)], names=schema.names)
+
+    return asked.groupBy("_bucket").cogroup(dealt.groupBy("_bucket")).applyInArrow(run, schema)
+
+
+def _finite(df: DataFrame) -> DataFrame:
+    """x and y as doubles, without the rows that no distance can be told of."""
+    xy = df.select(*[c for c in df.columns if c not in ("x", "y")], *[F.col(c).cast("double").alias(c) for c in ("x", "y")])
+    return xy.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+
+
+def _back(probes: DataFrame, found: DataFrame) -> DataFrame:
+    """probes with what was found for their place."""
+    named = found.withColumnsRenamed({"x": "_x", "y": "_y"})
+    joined = probes.join(named, (probes["x"].cast("double") == F.col("_x")) & (probes["y"].cast("double") == F.col("_y")), "left")
+    return joined.drop("_x", "_y")
+
+
 def nearest(probes: DataFrame, network: DataFrame, tolerance: float, keys: list[str], target: str, strict: bool = True) -> DataFrame:
-    """For each probe (by keys) the nearest target of the network below the tolerance, the smaller of two; null if there is none."""
-    hits = within(spread(probes.select(*keys, "x", "y"), keys), network.select(target, "x", "y"), tolerance, strict)
-    best = hits.groupBy(*keys).agg(F.min(F.struct("distance", target)).alias("_b"))
-    found = best.select(*keys, F.col("_b.distance").alias("distance"), F.col(f"_b.{target}").alias(target))
-    return probes.join(found, keys, "left")
+    """For each probe the nearest target of the network below the tolerance, the smaller of two; null if there is none.
+
+    Results are found for places and joined to the probes by x and y, which must come out equal whenever they are computed.
+    """
+    net = _finite(network.select(target, "x", "y")).groupBy("x", "y").agg(F.min(F.struct(target)).alias("_t")).select("x", "y", f"_t.{target}")
+    return _back(probes, _searched(probes.select("x", "y"), net, [target], tolerance, lambda *a: _nearest(*a, tolerance, strict)))
 
 
 def nearest_of_few(probes: DataFrame, network: DataFrame, keys: list[str], target: str) -> DataFrame:
@@ -85,9 +243,8 @@ def nearest_in_rings(probes: DataFrame, network: DataFrame, start: float, keys:
 def busiest_around(probes: DataFrame, network: DataFrame, radius: float, keys: list[str], value: str, name: str | None = None) -> DataFrame:
     """For each probe the largest value within the radius, and with name that of its point; the larger name of two."""
     columns = [value] + ([name] if name else [])
-    hits = within(spread(probes.select(*keys, "x", "y"), keys), network.select(*columns, "x", "y"), radius)
-    best = hits.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_b"))
-    return probes.join(best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in columns]), keys, "left")
+    net = _finite(network.select(*columns, "x", "y")).groupBy("x", "y").agg(F.max(F.struct(*columns)).alias("_t")).select("x", "y", *[f"_t.{c}" for c in columns])
+    return _back(probes, _searched(probes.select("x", "y"), net, columns, radius, lambda *a: _busiest(*a, radius)).drop("distance"))
 
 
 def pairs_within(points: DataFrame, radius: float, key: str = "id") -> DataFrame:
