@@ -299,6 +299,5 @@ def flow_assignment(spark: SparkSession, d: str) -> DataFrame:
     bin_ = bins.time_bin(bins.time_at(F.col("at"), F.col("total"), F.lit(28_800.0), F.lit(32_400.0)))
     probes = samples.select(F.col("id").alias("trip_id"), "pos", "k", bin_.alias("bin"), "x", "y")
     net = polyline.vertices(lines.where("cls < 5")).select(F.col("id").alias("edge_id"), "x", "y")
-    hits = snap.within(snap.spread(probes, ["trip_id", "pos", "k", "bin"]), net, 0.01, strict=True)
-    best = hits.groupBy("trip_id", "pos", "k", "bin").agg(F.min(F.struct("distance", "edge_id")).alias("b"))
-    return flows.distinct_load(best.select("trip_id", F.col("b.edge_id").alias("edge_id"), "bin"), "trip_id", ["edge_id", "bin"]).withColumnRenamed("n", "trips")
+    hits = snap.nearest(probes, net, 0.01, ["trip_id", "pos", "k", "bin"], "edge_id").where(F.col("edge_id").isNotNull())
+    return flows.distinct_load(hits, "trip_id", ["edge_id", "bin"]).withColumnRenamed("n", "trips")
