@@ -158,3 +158,26 @@ def test_nearest_and_busiest_without_pairs(spark, monkeypatch):
     none = frames[0].limit(0), frames[1].limit(0)
     assert snap.nearest(none[0], frames[1], 1.0, ["id"], "name").count() == 0
     assert {r.name for r in snap.nearest(frames[0], none[1], 1.0, ["id"], "name").collect()} == {None}
+
+
+def test_route_candidates_in_doubling_radii(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    at = lambda: (rng.gauss(0, 1), rng.gauss(0, 1))
+    routes = {k: [at() for _ in range(6)] for k in range(150)} | {150 + k: [(0.0, 0.0), (1.0, 1.0)] for k in range(50)}
+    trips = [(i, *at(), *at()) for i in range(60)] + [(60 + i, 0.1, 0.0, 1.0, 0.9) for i in range(20)] + [(80, 30.0, 0.0, 0.0, 0.0), (81, None, 0.0, 0.0, 0.0)]
+    seen, whole = [], snap.within
+    monkeypatch.setattr(snap, "within", lambda *a, **k: seen.append(a[2]) or whole(*a, **k))
+    frames = points(spark, trips, "id long, x1 double, y1 double, x2 double, y2 double"), points(spark, [(k, *p) for k, v in routes.items() for p in v], "route long, x double, y double")
+    for tolerance in (0.3, 2.0):
+        got = {r.id: (r.route, r.d1, r.d2) for r in snap.route_candidates(*frames, tolerance).collect()}
+        want = {}
+        for i, *e in trips:
+            if e[0] is not None:
+                away = [[min(((x - a) * (x - a) + (y - b) * (y - b)) ** 0.5 for a, b in v) for x, y in (e[:2], e[2:])] for v in routes.values()]
+                best = min(((a + b, k, a, b) for k, (a, b) in zip(routes, away, strict=True) if a <= tolerance and b <= tolerance), default=None)
+                if best:
+                    want[i] = best[1:]
+        assert got == want
+    assert min(seen) < 0.3  # not all routes within the tolerance

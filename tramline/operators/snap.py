@@ -271,16 +271,37 @@ def median_if_hit(samples: DataFrame, key: str, value: str, share: float = 0.5)
     return samples.groupBy(key).agg(F.when(hit >= share, F.median(value)).alias(value))
 
 
+#: Doublings of the radius by which route_candidates() reaches the tolerance.
+STEPS = 6
+
+
 def route_candidates(trips: DataFrame, vertices: DataFrame, tolerance: float, key: str = "id", route: str = "route") -> DataFrame:
     """key, route, d1, d2: of the routes that pass both ends of a trip within the tolerance, that of the least sum.
 
-    trips: key, x1, y1, x2, y2. vertices: route, x, y.
+    trips: key, x1, y1, x2, y2. vertices: route, x, y. Radii double up to the tolerance. What passes one of the ends beyond a
+    radius has a sum beyond it, so a trip whose least sum is no more than the radius is done, and the others go on: the
+    routes that are compared are about those between which the best is found, not all within the tolerance. Trips of the
+    same ends are asked once, and of routes of the same vertices the smallest takes part.
     """
-    first = within(trips.select(key, F.col("x1").alias("x"), F.col("y1").alias("y")), vertices, tolerance).groupBy(key, route).agg(F.min("distance").alias("d1"))
-    second = within(trips.select(key, F.col("x2").alias("x"), F.col("y2").alias("y")), vertices, tolerance).groupBy(key, route).agg(F.min("distance").alias("d2"))
-    both = first.join(second, [key, route])
-    best = both.groupBy(key).agg(F.min(F.struct((F.col("d1") + F.col("d2")).alias("sum"), route, "d1", "d2")).alias("_b"))
-    return best.select(key, F.col(f"_b.{route}").alias(route), "_b.d1", "_b.d2")
+    ends = ["x1", "y1", "x2", "y2"]
+    asked = kept(trips.where(F.col(key).isNotNull()).select(key, *ends).distinct())
+    same = vertices.groupBy(route).agg(F.sort_array(F.collect_set(F.struct("x", "y"))).alias("_p")).groupBy("_p").agg(F.min(route).alias(route))
+    net = kept(same.select(route, F.inline("_p")))
+    places = left = kept(asked.select(*ends).distinct().withColumn("_trip", F.monotonically_increasing_id()))
+    parts = Parts(trips.sparkSession, "candidates")
+    for step in range(STEPS, -1, -1):
+        radius = tolerance / 2**step
+        points = left.select("_trip", F.inline(F.array(*[F.struct(F.lit(e).alias("_e"), F.col(f"x{e}").alias("x"), F.col(f"y{e}").alias("y")) for e in (1, 2)])))
+        near = within(spread(points, ["_trip"]), net, radius).groupBy("_trip", route).agg(*[F.min(F.when(F.col("_e") == e, F.col("distance"))).alias(f"d{e}") for e in (1, 2)])
+        both = near.where(F.col("d1").isNotNull() & F.col("d2").isNotNull())
+        best = both.groupBy("_trip").agg(F.min(F.struct((F.col("d1") + F.col("d2")).alias("sum"), route, "d1", "d2")).alias("_b"))
+        found = parts.add(best.where(F.lit(step == 0) | (F.col("_b.sum") <= radius)).select("_trip", "_b.*"))
+        if step == 0:
+            break
+        left = kept(left.join(found, "_trip", "left_anti"))
+        if left.isEmpty():
+            break
+    return asked.join(places.join(parts.all(), "_trip"), ends).select(key, route, "d1", "d2")
 
 
 def coverage(samples: DataFrame, hit: Column, weight: Column) -> DataFrame:
