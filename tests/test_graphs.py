@@ -128,3 +128,20 @@ def test_betweenness_query_takes_all_sources_of_a_small_graph(spark):
     got = {(r.a, r.b): r.betweenness for r in graphs.betweenness_sampled(spark, d).collect()}
     assert set(got) == {(a, b) for a, b, _ in edges}
     assert all(abs(v - credit[k] / (len(nodes) * (len(nodes) - 1))) < 1e-8 for k, v in got.items())
+
+
+def test_pieces_are_not_broadcast_and_edges_go_to_sources(spark):
+    from tramline.operators import flows
+
+    pieces = spark.createDataFrame([(1, 0, "e", 3), (1, 1, "f", 3), (2, 0, None, 4)], "trip_id long, piece int, edge_id string, bin int")
+    found = flows.assign(pieces.where("trip_id = 2"), pieces.where("piece = 0"), pieces)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(1, "e", 3), (1, "f", 3)}
+    # Two hundred pairs of one source share its edges: one group each source, not one each pair.
+    nodes = spark.createDataFrame([(f"{i:03}", float(i), 0.0) for i in range(200)], "id string, x double, y double")
+    edges = spark.createDataFrame([(f"e{i:03}", f"{i:03}", f"{i + 1:03}", 1.0) for i in range(199)], "edge_id string, src string, dst string, length double")
+    pairs = spark.createDataFrame([("000", f"{i:03}", float(i)) for i in range(1, 200)], "src string, dst string, chord double")
+    paths = graph.bounded_paths(pairs, nodes, edges, 1.0, 0.5, 50.0)
+    assert "CoGroups" in paths._jdf.queryExecution().executedPlan().toString()
+    got = {r.dst: r.n for r in paths.groupBy("dst").count().withColumnRenamed("count", "n").collect()}
+    assert got == {f"{i:03}": i for i in range(1, 200)}

@@ -103,20 +103,22 @@ def assigned(pieces: DataFrame, points: DataFrame, nodes: DataFrame, edges: Data
     near = nearest(ends, nodes, junction, ["trip_id", "piece", "end"], "id", strict=False).where(F.col("id").isNotNull())
     both = near.groupBy("trip_id", "piece", "bin", "length").agg(*[F.max(F.when(F.col("end") == e, F.col("id"))).alias(n) for e, n in (("a", "src"), ("b", "dst"))])
     both = kept(both.where("src <> dst"))
-    paths = bounded_paths(both.select("src", "dst", F.col("length").alias("chord")), nodes, edges, factor, slack, tile)
+    # Used twice, and each search is dear.
+    paths = kept(bounded_paths(both.select("src", "dst", F.col("length").alias("chord")), nodes, edges, factor, slack, tile))
     # The bound of a pair of junctions is that of its longest chord; a shorter one keeps to its own.
     lengths = paths.join(edges.select("edge_id", F.col("length").alias("_l")), "edge_id").groupBy("src", "dst").agg(F.sum("_l").alias("_path"))
-    fits = both.join(lengths, ["src", "dst"]).where(F.col("_path") <= F.col("length") * factor + slack)
-    chords = fits.join(paths, ["src", "dst"]).select("trip_id", "piece", "edge_id", "bin")
+    fits = both.hint("merge").join(lengths, ["src", "dst"]).where(F.col("_path") <= F.col("length") * factor + slack)
+    chords = fits.hint("merge").join(paths, ["src", "dst"]).select("trip_id", "piece", "edge_id", "bin")
     return assign(snapped(pieces.where(F.col("length") <= short)), kept(chords), snapped(far))
 
 
 def assign(short: DataFrame, long: DataFrame, fallback: DataFrame) -> DataFrame:
     """trip_id, edge_id, bin: short pieces by snapping, long chords by their path, and by snapping where no path was found.
 
-    Each frame has trip_id, piece, edge_id, bin; fallback is used for the pieces that long does not have.
+    Each frame has trip_id, piece, edge_id, bin; fallback is used for the pieces that long does not have. Written frames
+    are small by their files and large as rows, so that a broadcast of pieces would fill the driver: they are merged.
     """
-    rest = fallback.join(long.select("trip_id", "piece").distinct(), ["trip_id", "piece"], "left_anti")
+    rest = fallback.join(long.select("trip_id", "piece").distinct().hint("merge"), ["trip_id", "piece"], "left_anti")
     columns = ["trip_id", "edge_id", "bin"]
     return short.select(columns).unionByName(long.select(columns)).unionByName(rest.select(columns)).where(F.col("edge_id").isNotNull()).distinct()
 

@@ -213,8 +213,9 @@ def bounded_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, factor:
     """src, dst, step, edge_id, forward: A* between junctions, given up beyond factor × chord + slack.
 
     pairs: src, dst, chord (the longest of each distinct pair is taken). A search cannot leave the ellipse that its
-    bound allows, so each pair is sent, by an equi-join on tiles, the edges of the tiles that meet the ellipse's
-    box; groups are single pairs, so no worker holds the network.
+    bound allows, so the pairs of a source are sent, by an equi-join on tiles, the edges of the tiles that meet one of
+    their ellipses' boxes, each once; groups are single sources, so no worker holds the network. Edges beyond a pair's own
+    ellipse are never gone along before its goal.
     """
     asked = pairs.groupBy("src", "dst").agg(F.max("chord").alias("chord")).withColumn("bound", F.col("chord") * factor + slack)
     ends = asked.join(nodes.select(F.col("id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy")), "src")
@@ -222,7 +223,7 @@ def bounded_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, factor:
     reach = (F.col("bound") - F.col("chord")) / 2 + F.col("chord") / 2
     mid = {c: (F.col(f"s{c}") + F.col(f"t{c}")) / 2 for c in ("x", "y")}
     span = {c: F.sequence(F.floor((mid[c] - reach) / tile), F.floor((mid[c] + reach) / tile)) for c in ("x", "y")}
-    tiles = ends.withColumn("cx", F.explode(span["x"])).withColumn("cy", F.explode(span["y"]))
+    tiles = ends.select(F.col("src").alias("_source"), F.explode(span["x"]).alias("cx"), span["y"].alias("_y")).select("_source", "cx", F.explode("_y").alias("cy")).distinct()
     placed = edges.join(nodes.select(F.col("id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay")), "src")
     placed = placed.join(nodes.select(F.col("id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by")), "dst")
     placed = placed.select("edge_id", F.col("src").alias("a"), F.col("dst").alias("b"), "length", "ax", "ay", "bx", "by")
@@ -231,7 +232,7 @@ def bounded_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, factor:
     tiled = placed.select("*", F.explode(spots).alias("t")).select(*placed.columns, "t.cx", "t.cy")
     sent = tiles.join(tiled, ["cx", "cy"]).drop("cx", "cy").distinct()
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
+    def search(pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         arcs, xy = defaultdict(list), {}
         for e in rows.itertuples():
             xy[e.a], xy[e.b] = (e.ax, e.ay), (e.bx, e.by)
@@ -239,10 +240,11 @@ def bounded_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, factor:
             arcs[e.b].append((e.a, e.length, e.edge_id, False))
         for out in arcs.values():
             out.sort()
-        src, dst, bound = rows.at[0, "src"], rows.at[0, "dst"], rows.at[0, "bound"]
-        found = _astar(arcs, xy, src, dst, bound) if src in xy and dst in xy else None
-        steps = [(src, dst, i, e, f) for i, (e, f) in enumerate(found or [])]
+        steps = []
+        for p in pairs.itertuples():
+            found = _astar(arcs, xy, p.src, p.dst, p.bound) if p.src in xy and p.dst in xy else None
+            steps += [(p.src, p.dst, i, e, f) for i, (e, f) in enumerate(found or [])]
         return pd.DataFrame(steps, columns=["src", "dst", "step", "edge_id", "forward"])
 
     kind = edges.schema["edge_id"].dataType.simpleString()
-    return sent.groupBy("src", "dst").applyInPandas(search, f"src string, dst string, step int, edge_id {kind}, forward boolean")
+    return ends.select("src", "dst", "bound").groupBy("src").cogroup(sent.groupBy("_source")).applyInPandas(search, f"src string, dst string, step int, edge_id {kind}, forward boolean")
