@@ -126,3 +126,63 @@ def test_similar_matches_brute_force_jaccard(spark):
 
     docs = df.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
     assert {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()} == {i for i in range(len(texts)) if find(i) == i}
+
+
+def near_copies(n, words=100, seed=5):
+    """Copies of one text, most of them too far from each other to be linked, and some that are not."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(words)]
+    texts = []
+    for _ in range(n):
+        copy = list(base)
+        for k in rng.sample(range(words), rng.randrange(1, 9)):
+            copy[k] = f"x{rng.randrange(1 << 40)}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def jaccard_groups(texts):
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    group = list(range(len(texts)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                group[max(a, b)] = min(a, b)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_similar_links_by_simhash_and_writes_no_pairs(spark, monkeypatch):
+    hashes = simhash.np.unique(simhash.shingles(" ".join(f"w{i}" for i in range(400)).encode(), 5))
+    bits = simhash.np.unpackbits(simhash.np.frombuffer(simhash.signature(hashes), "u1"), bitorder="little")
+    ones = sum(simhash.np.unpackbits(simhash.np.frombuffer(simhash.signature(hashes[i : i + 1]), "u1"), bitorder="little").astype(int) for i in range(len(hashes)))
+    assert (bits == (2 * ones > len(hashes))).all() and len(bits) == 512
+    # Neither a table nor a list of links grows with the square of a group of near copies.
+    texts = near_copies(500)
+    written, linked = [], []
+    own_stage, own_components = simhash.stage, simhash.components
+    monkeypatch.setattr(simhash, "stage", lambda df, name: written.append((out := own_stage(df, name)).count()) or out)
+    monkeypatch.setattr(simhash, "components", lambda edges: linked.append(edges.count()) or own_components(edges))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df, "doc_id").collect()}
+    want = jaccard_groups(texts)
+    assert got == want and 10 < len(set(want.values())) < 450
+    assert max(written) <= len(texts)
+    assert max(linked) <= len(simhash.bands(len(texts), 0.8)) * len(texts) / 2
+    assert linked[-1] == len(texts) - len(set(want.values()))
+    assert simhash.bands(1 << 24, 0.8)[0].size > simhash.bands(1000, 0.8)[0].size == simhash.NARROW
+
+
+def test_similar_by_blocks(spark):
+    texts = near_copies(150) + near_copies(60, 80, 6) + [f"own text number {i} of words{i} other{i}" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = jaccard_groups(texts)
+    for block in (1000, 4000):
+        assert {r.doc_id: r.component_id for r in simhash.similar(df, "doc_id", block=block).collect()} == want
